@@ -170,7 +170,9 @@ class Newton:
         """Aliased terms that are removed: the run of ``drop_order`` found aliased."""
         out = []
         for name in self.drop_order:
-            if name not in self.names or self.keep[self.names.index(name), r]:
+            if name not in self.names:
+                continue  # removed before
+            if self.keep[self.names.index(name), r]:
                 break
             out.append(name)
         return out
