@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulant.functions.design import Design
+from emulant.operators.resample import hash_number
 from emulant.spec import PanelSpec
 
 TRIAL_KEY = ("id", "trial_period", "followup_time")
@@ -127,3 +128,16 @@ def set_strategy(
         if t.name in df.columns and t.name != treatment and any(f.column == treatment for f in t.factors)
     }
     return out.withColumns(touched) if touched else out
+
+
+def sample_controls(expanded: DataFrame, share: float, seed: int) -> DataFrame:
+    """Keep every event row and a hash-drawn share of the others.
+
+    ``sample_weight`` is 1 for events and 1/share for kept controls. Off unless
+    called.
+    """
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in TRIAL_KEY])
+    kept = (F.col("outcome") == 1) | (hash_number(key) % 1_000_000 < int(share * 1_000_000))
+    return expanded.filter(kept).withColumn(
+        "sample_weight", F.when(F.col("outcome") == 1, 1.0).otherwise(1.0 / share)
+    )

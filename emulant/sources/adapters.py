@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulant.operators import panel as P
-from emulant.spec import PanelSpec
+from emulant.spec import METHODS, PanelSpec
 
 ORDER_VISITS = 6
 ORDER_SPEC = PanelSpec(visits=ORDER_VISITS)
@@ -145,3 +145,69 @@ def event_panel(spark: SparkSession, folder: str) -> DataFrame:
         F.log1p(F.col("slots")[0]["spend"]).alias("X4"),
     )
     return _histories(slots.select("id", "X4", F.inline("slots")), EVENT_SPEC).filter("Yp = 0")
+
+
+# Event-rate levels and scenario factors of the results tables.
+OUTCOMES = ("low", "med", "high")
+SIZES = (200, 1000, 5000)
+CONFOUNDING = (0.1, 0.5, 0.9)
+TREATMENT = (-1, 0, 1)
+
+
+def replicate_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimates per outcome, scenario, iteration and visit, derived from line items.
+
+    An order is an iteration, its lines are visits; discount and tax give the
+    survival in the two arms.
+    """
+    lines = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("_v"))
+        .agg(F.avg("l_discount").alias("_d"), F.avg("l_tax").alias("_x"), F.avg("l_quantity").alias("_q"))
+    )
+    label = F.array(*[F.lit(o) for o in OUTCOMES])
+    return lines.select(
+        F.element_at(label, (F.floor(F.col("l_orderkey") / 27) % 3 + 1).cast("int")).alias("outcome"),
+        (F.col("l_orderkey") % 27 + 1).cast("int").alias("scenario"),
+        (F.col("l_orderkey") * 2 + F.when(F.col("_v") >= 5, 1).otherwise(0)).alias("iter"),
+        (F.col("_v") % 5).cast("int").alias("visit"),
+        F.round(F.col("_d") - F.col("_x"), 6).alias("est"),
+        F.round(1.0 - F.col("_x"), 6).alias("surv0"),
+        F.round(1.0 - F.col("_d"), 6).alias("surv1"),
+        F.round(0.02 + F.col("_q") / 1000.0, 6).alias("half"),
+    )
+
+
+def interval_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Interval results of six methods; one in eleven iterations of a method failed."""
+
+
+    methods = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(n).alias("method")) for i, n in enumerate(METHODS)])
+    rows = replicate_estimates(spark, folder).select("*", F.inline(methods))
+    ok = (F.floor(F.col("iter") / 2) + F.col("m")) % 11 != 0
+    width = F.col("half") * (1.0 + 0.1 * F.col("m"))
+    return rows.select(
+        "outcome",
+        "scenario",
+        "iter",
+        "visit",
+        "method",
+        "est",
+        F.when(ok, F.round(F.col("est") - 0.9 * width, 6)).alias("lb"),
+        F.when(ok, F.round(F.col("est") + 1.1 * width, 6)).alias("ub"),
+    )
+
+
+def scenario_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """Truth per outcome, scenario and visit: the mean over the sample sizes of a setting."""
+    est = replicate_estimates(spark, folder)
+    setting = ((F.col("scenario") - 1) % 9).alias("setting")
+    means = est.groupBy("outcome", setting, "visit").agg(
+        F.round(F.avg("est"), 6).alias("mrd"),
+        F.round(F.avg("surv0"), 6).alias("surv0"),
+        F.round(F.avg("surv1"), 6).alias("surv1"),
+    )
+    sizes = F.array(*[F.col("setting") + 1 + 9 * i for i in range(len(SIZES))])
+    return means.select(
+        "outcome", F.explode(sizes).cast("int").alias("scenario"), "visit", "mrd", "surv0", "surv1"
+    )
