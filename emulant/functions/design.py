@@ -114,6 +114,21 @@ class Design:
         drop = set(names)
         return Design(tuple(t for t in self.terms if t.name not in drop))
 
+    def levels(self, column: str) -> list:
+        """Values of ``column`` that terms compare with."""
+        found = {f.value: None for t in self.terms for f in t.factors if isinstance(f, Level) and f.column == column}
+        return list(found)
+
+    def coded(self, codes: Mapping[str, list]) -> Design:
+        """The same design over columns whose values were replaced by list positions."""
+
+        def swap(f):
+            if isinstance(f, Level) and f.column in codes:
+                return Level(f.column, codes[f.column].index(f.value))
+            return f
+
+        return Design(tuple(Term(t.name, tuple(swap(f) for f in t.factors)) for t in self.terms))
+
     def vector(self) -> Column:
         """All terms of a row as ``array<double>``."""
         return F.array(*[t.spark() for t in self.terms])

@@ -6,13 +6,14 @@ person rows; the driver holds the coefficients of one block at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emulant.functions import kernel
 from emulant.functions import persons as people
@@ -197,8 +198,14 @@ class TrialAnalysis:
         row_cols = ["trial_period", "followup_time", "assigned_treatment", "outcome"]
         row_cols += [c for c in p.outcome.columns if c not in row_cols]
 
+        def number(c: str) -> Column:
+            if c not in self._codes:
+                return F.col(c).cast("double")
+            values = F.array(*[F.lit(v) for v in self._codes[c]])
+            return F.when(F.col(c).isNotNull(), F.array_position(values, F.col(c)) - 1.0)
+
         def packed(df: DataFrame, columns: Sequence[str], name: str, limit: int) -> DataFrame:
-            item = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+            item = F.struct(*[number(c).alias(c) for c in columns])
             rows = df.groupBy(spec.id if name == "visits" else "id").agg(F.collect_list(item).alias(name))
             within = F.assert_true(
                 F.size(name) <= limit, F.lit(f"more than {limit} {name} for one person: key not unique")
@@ -217,6 +224,13 @@ class TrialAnalysis:
         self._held.append(out)
         return out
 
+    @cached_property
+    def _codes(self) -> dict[str, list]:
+        """Levels of string covariates, by whose position persons carry them."""
+        designs = [d for _, d, _, _ in self.plan.weights.models()] + [self.fit.design]
+        strings = {f.name for f in self.panel.schema if isinstance(f.dataType, T.StringType)}
+        return {c: list(dict.fromkeys(v for d in designs for v in d.levels(c))) for c in strings if any(d.levels(c) for d in designs)}
+
     def _layout(self, replicates: int, first: int, counts: str) -> people.Layout:
         p, spec = self.plan, self.plan.spec
         return people.Layout(
@@ -228,9 +242,9 @@ class TrialAnalysis:
             prev_treatment=spec.prev_treatment,
             period=spec.period,
             censor=spec.censor,
-            models=tuple(p.weights.models()),
+            models=tuple((n, d.coded(self._codes), y, s) for n, d, y, s in p.weights.models()),
             eligible_wts=p.eligible_wts,
-            outcome=self.fit.design,
+            outcome=self.fit.design.coded(self._codes),
             trials=p.trials,
         )
 
@@ -416,6 +430,3 @@ class TrialAnalysis:
             sink.add(self._curve_rows(method, lo, np.zeros(hi - lo, dtype=int), means))
         return sink.table()
 
-
-def weights_of(plan: Plan) -> Mapping[str, Design]:
-    return {name: design for name, design, _, _ in plan.weights.models()}

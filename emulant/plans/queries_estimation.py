@@ -423,8 +423,8 @@ def score_per_replicate(spark, folder):
 @query(
     "treatment_effect",
     f"""{_WEIGHTED}, m AS (SELECT assigned_treatment AS a, sum(weight * outcome) / sum(weight) AS p FROM wpp GROUP BY 1),
-    o AS (SELECT max(CASE WHEN a = 1 THEN ln(p / (1 - p)) END) - max(CASE WHEN a = 0 THEN ln(p / (1 - p)) END) AS b FROM m)
-    SELECT round(b, 5) AS log_odds_ratio, round(exp(b), 5) AS hazard_ratio FROM o""",
+    lor AS (SELECT max(CASE WHEN a = 1 THEN ln(p / (1 - p)) END) - max(CASE WHEN a = 0 THEN ln(p / (1 - p)) END) AS b FROM m)
+    SELECT round(b, 5) AS log_odds_ratio, round(exp(b), 5) AS hazard_ratio FROM lor""",
 )
 def treatment_effect(spark, folder):
     fit = M.fit_logit(weighted_rows(spark, folder), Design.of("assigned_treatment"), "outcome", "weight")
@@ -473,7 +473,7 @@ _GRID_CTE = f"""WITH {Q.PANEL} {Q.TRIALS}, base AS (SELECT id, trial_period, X2,
 def _mean_sql(st: str, sc: str) -> str:
     return (
         f"round({st}, 6) AS survival_treatment, round({sc}, 6) AS survival_control, round({st} - {sc}, 6) AS survival_difference,"
-        f" round({st} / {sc}, 6) AS survival_ratio, round({sc} - {st}, 6) AS mrd"
+        f" round(({st}) / ({sc}), 6) AS survival_ratio, round({sc} - {st}, 6) AS mrd"
     )
 
 
@@ -752,9 +752,9 @@ def jackknife_wald_limits_about_mean(spark, folder):
 
 @query(
     "jackknife_covariance",
-    f"""{_JACKKNIFE}, b AS (SELECT rep, {_CELL_NAME} AS term, ln(p / (1 - p)) AS b FROM rp)
+    f"""{_JACKKNIFE}, jb AS (SELECT rep, {_CELL_NAME} AS term, ln(p / (1 - p)) AS b FROM rp)
     SELECT x.term AS term_i, y.term AS term_j, round((count(*) - 1) / count(*) * (sum(x.b * y.b) - sum(x.b) * sum(y.b) / count(*)), 4)
-    AS value FROM b x JOIN b y USING (rep) GROUP BY 1, 2""",
+    AS value FROM jb x JOIN jb y USING (rep) GROUP BY 1, 2""",
 )
 def jackknife_covariance(spark, folder):
     a = _events(spark, folder)
