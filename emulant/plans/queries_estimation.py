@@ -6,6 +6,8 @@ check; the same code fits any other design.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -752,14 +754,18 @@ def jackknife_wald_limits_about_mean(spark, folder):
 
 @query(
     "jackknife_covariance",
-    f"""{_JACKKNIFE}, jb AS (SELECT rep, {_CELL_NAME} AS term, ln(p / (1 - p)) AS b FROM rp)
-    SELECT x.term AS term_i, y.term AS term_j, round((count(*) - 1) / count(*) * (sum(x.b * y.b) - sum(x.b) * sum(y.b) / count(*)), 4)
-    AS value FROM jb x JOIN jb y USING (rep) GROUP BY 1, 2""",
+    f"""WITH {Q.EVENT_PANEL} {Q.WEIGHTED} {Q.leave_one_out()} {Q.REFIT_WEIGHTS} {Q.REPLICATE_ROWS}, jb AS (SELECT rep,
+      'assigned_treatment=' || assigned_treatment AS term, sum(w * outcome) / sum(w) AS p FROM rr GROUP BY 1, 2),
+    jl AS (SELECT rep, term, ln(p / (1 - p)) AS b FROM jb), jm AS (SELECT term, avg(b) AS m FROM jl GROUP BY 1),
+    jd AS (SELECT rep, term, b - m AS d FROM jl JOIN jm USING (term))
+    SELECT x.term AS term_i, y.term AS term_j, round((count(*) - 1) / count(*) * sum(x.d * y.d), 5) AS value
+    FROM jd x JOIN jd y USING (rep) GROUP BY 1, 2""",
 )
 def jackknife_covariance(spark, folder):
-    a = _events(spark, folder)
+    """Covariance of the outcome coefficients over leave-one-out refits."""
+    a = TrialAnalysis(event_rows(spark, folder), replace(EVENT_PLAN, outcome=cell_terms(("assigned_treatment", (0, 1)))))
     cov = a.jackknife().moments["jackknife"].jackknife()
-    return rounded(M.covariance_rows(spark, {"j": (a.fit.design, cov)}).drop("model"), 4)
+    return rounded(M.covariance_rows(spark, {"j": (a.fit.design, cov)}).drop("model"), 5)
 
 
 @query("jackknife_normal_limits")

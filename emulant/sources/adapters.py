@@ -207,7 +207,7 @@ def scenario_truth(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.avg("surv0"), 6).alias("surv0"),
         F.round(F.avg("surv1"), 6).alias("surv1"),
     )
-    sizes = F.array(*[F.col("setting") + 1 + 9 * i for i in range(len(SIZES))])
+    sizes = F.array(*[(F.col("setting") + 1 + 9 * i).cast("int") for i in range(len(SIZES))])
     return means.select(
-        "outcome", F.explode(sizes).cast("int").alias("scenario"), "visit", "mrd", "surv0", "surv1"
+        "outcome", F.explode(sizes).alias("scenario"), "visit", "mrd", "surv0", "surv1"
     )
