@@ -27,6 +27,8 @@ def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) ->
     """
     m, p = x.shape
     r = b.shape[1]
+    if p == 1 and (x == 1.0).all():
+        return _intercept_sums(y, w, b)
     tri = p * (p + 1) // 2
     rows, cols = np.triu_indices(p)
     out = np.zeros((r, width(p)))
@@ -38,13 +40,27 @@ def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) ->
         prob = 1.0 / (1.0 + np.exp(-np.clip(eta, -700.0, 700.0)))
         out[:, :tri] += (ws * prob * (1.0 - prob)).T @ (xs[:, rows] * xs[:, cols])
         out[:, tri : tri + p] += (ws * (ys - prob)).T @ xs
-        out[:, tri + p] += 2.0 * (ws * (np.logaddexp(0.0, eta) - ys * eta)).sum(axis=0)
+        hit = np.where(ys == 1.0, prob, 1.0 - prob)
+        out[:, tri + p] -= 2.0 * (ws * np.log(np.maximum(hit, 1e-300))).sum(axis=0)
         out[:, tri + p + 1] += ws.sum(axis=0)
         out[:, tri + p + 2] += (ws * ys).sum(axis=0)
         out[:, tri + p + 3] += (ws > 0).sum(axis=0)
     return out
 
 
+def _intercept_sums(y: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``logistic_sums`` of an intercept alone: only the weighted counts matter."""
+    prob = 1.0 / (1.0 + np.exp(-np.clip(b[0], -700.0, 700.0)))
+    total, events = w.sum(axis=0), y @ w
+    tail = np.log(np.maximum(prob, 1e-300)), np.log(np.maximum(1.0 - prob, 1e-300))
+    out = np.zeros((b.shape[1], width(1)))
+    out[:, 0] = total * prob * (1.0 - prob)
+    out[:, 1] = events - total * prob
+    out[:, 2] = -2.0 * (events * tail[0] + (total - events) * tail[1])
+    out[:, 3], out[:, 4], out[:, 5] = total, events, (w > 0).sum(axis=0)
+    return out
+
+
 def unpack(flat: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Information matrix, score and tail of one flat row."""
     tri = p * (p + 1) // 2

@@ -61,6 +61,15 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return owner, fields
 
 
+def _counts(column: pa.ListArray, m: int, lay: Layout) -> np.ndarray:
+    """Persons x replicates counts from the lists of replicates that drew a person."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(m), lengths)
+    rep = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) - lay.first
+    cells = np.bincount(owner * lay.replicates + rep, minlength=m * lay.replicates)
+    return cells.reshape(m, lay.replicates).astype(np.float64)
+
+
 def people(batches: Iterator[pa.RecordBatch], lay: Layout) -> Iterator[People]:
     """Cut batches into slices that keep persons x visits x replicates bounded."""
     step = max(8, CELLS // (lay.visits * lay.replicates))
@@ -69,9 +78,7 @@ def people(batches: Iterator[pa.RecordBatch], lay: Layout) -> Iterator[People]:
             batch = whole.slice(lo, step)
             m = batch.num_rows
             if lay.counts == "drawn":
-                n = np.zeros((m, lay.replicates))
-                owner, drawn = _lists(batch.column("drawn"))
-                n[owner, drawn["rep"].astype(np.int64) - lay.first] = drawn["n"]
+                n = _counts(batch.column("drawn"), m, lay)
             else:
                 n = np.ones((m, lay.replicates))
                 if lay.counts == "leave_one_out":
@@ -104,7 +111,8 @@ def weight_model_sums(p: People, lay: Layout, jobs: Sequence[tuple[int, np.ndarr
     for i, active, b in jobs:
         _, design, response, stratum = lay.models[i]
         at, x, y = _model_rows(p, lay, design, response, stratum)
-        out.append(kernel.logistic_sums(x, y, p.n[p.visit_person[at]][:, active], b))
+        n = p.n if len(active) == lay.replicates else p.n[:, active]
+        out.append(kernel.logistic_sums(x, y, n[p.visit_person[at]], b))
     return out
 
 
@@ -123,24 +131,31 @@ def replicate_weights(p: People, lay: Layout, coefs: Mapping[str, np.ndarray]) -
     v = p.visit
     nv = len(p.visit_person)
     r = lay.replicates
-    prob = {}
-    for name, design, _, _ in lay.models:
-        prob[name] = _sigmoid(design.matrix(v, nv) @ coefs[name])
+    designs = {name: design for name, design, _, _ in lay.models}
     prev = v[lay.prev_treatment][:, None]
     taken = v[lay.treatment][:, None]
 
+    def linear(name: str) -> np.ndarray:
+        design = designs[name]
+        rows = nv if design.columns else 1  # an intercept is the same for every row
+        return design.matrix(v, rows) @ coefs[name]
+
     def by_stratum(kind: str) -> np.ndarray:
-        return np.where(prev == 0, prob[f"{kind}0"], np.where(prev == 1, prob[f"{kind}1"], np.nan))
+        eta = np.where(prev == 1, linear(f"{kind}1"), linear(f"{kind}0"))
+        return _sigmoid(np.where((prev == 0) | (prev == 1), eta, np.nan))
 
     pn, pd = by_stratum("switch_n"), by_stratum("switch_d")
-    wt = np.where(taken == 1, pn / pd, np.where(taken == 0, (1.0 - pn) / (1.0 - pd), np.nan))
+    wt = np.where(taken == 1, pn / pd, (1.0 - pn) / (1.0 - pd))
+    wt[~np.isin(v[lay.treatment], (0.0, 1.0))] = np.nan
     for stratum, flag in lay.eligible_wts:
         wt = np.where((prev == stratum) & (v[flag][:, None] == 0), 1.0, wt)
-    names = {m[0] for m in lay.models}
-    if "censor_d" in names:
-        wt = wt * (np.nan_to_num(prob["censor_n"], nan=1.0) / np.nan_to_num(prob["censor_d"], nan=1.0))
-    elif "censor_d0" in names:
+    if "censor_d" in designs:
+        cn, cd = _sigmoid(linear("censor_n")), _sigmoid(linear("censor_d"))
+    elif "censor_d0" in designs:
         cn, cd = by_stratum("censor_n"), by_stratum("censor_d")
+    else:
+        cn = cd = None
+    if cn is not None:
         wt = wt * (np.nan_to_num(cn, nan=1.0) / np.nan_to_num(cd, nan=1.0))
     t = v[lay.period].astype(np.int64)
     missing = np.isnan(wt)
@@ -168,7 +183,7 @@ def _outcome_rows(p: People, lay: Layout, coefs: Mapping[str, np.ndarray]):
 
 def outcome_sums(p: People, lay: Layout, coefs: Mapping[str, np.ndarray], active: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y, w = _outcome_rows(p, lay, coefs)
-    return kernel.logistic_sums(x, y, w[:, active], b)
+    return kernel.logistic_sums(x, y, w if len(active) == lay.replicates else w[:, active], b)
 
 
 def outcome_scores(p: People, lay: Layout, coefs: Mapping[str, np.ndarray], full: np.ndarray) -> np.ndarray:

@@ -11,27 +11,21 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = 64
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with NULL equal to NULL, keeping the keys of the left side."""
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+STEPS = (32, 16, 8, 4, 2, 1)
 
 
 def quantile_table(
-    df: DataFrame, by: Sequence[str], column: str, probs: Mapping[str, float], splits: int = SPLITS
+    df: DataFrame, by: Sequence[str], column: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics) per group.
 
     1. Equal values are counted, so ties (a third of all weights may be exactly 1)
        become one row before anything is sorted.
-    2. A mergeable sketch cuts the range of each group into ``splits`` pieces. It
+    2. A mergeable sketch cuts the range of each group into 64 pieces. It
        only steers the split: any cut points give the exact answer.
     3. Counts per piece, a row each, say which piece holds each wanted rank.
     4. Within a piece the running count finds the order statistics.
@@ -39,57 +33,53 @@ def quantile_table(
     Missing values are left out; an empty group gives no row.
     """
     by = list(by)
-    key = by or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    counts = base.filter(F.col(column).isNotNull()).groupBy(*key, F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    cuts = counts.groupBy(*key).agg(
-        F.percentile_approx("_v", [i / splits for i in range(1, splits)], 1000).alias("_cuts")
-    )
-    pieces = null_safe_join(counts, cuts, key).select(
-        *key, "_v", "_c", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_piece")
-    )
-    totals = pieces.groupBy(*key, "_piece").agg(F.sum("_c").alias("_n"))
-    up_to = Window.partitionBy(*key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*key)
-    offsets = totals.select(
-        *key,
-        "_piece",
-        F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"),
-        "_n",
-        F.sum("_n").over(whole).alias("_total"),
-    )
-    ranks = F.array(
-        *[
-            r
-            for p in probs.values()
-            for r in (
-                F.floor((F.col("_total") - 1) * F.lit(p)).cast("long"),
-                F.ceil((F.col("_total") - 1) * F.lit(p)).cast("long"),
-            )
-        ]
+    # One struct key: never NULL itself, and equal where its fields are (NULLs too).
+    key = F.struct(*[F.col(k) for k in by]) if by else F.struct(F.lit(0))
+    values = df.filter(F.col(column).isNotNull()).select(key.alias("_key"), F.col(column).alias("_v"))
+    counts = values.groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    groups = counts.groupBy("_key").agg(
+        F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 2 * SPLITS).alias("_cuts"),
+        F.sum("_c").alias("_total"),
     )
-    wanted = offsets.withColumn("_ranks", ranks).filter(
-        F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    pieces = counts.join(groups, "_key").withColumn("_piece", F.lit(0))
+    for step in STEPS:
+        # Binary search among the cut points, one projection per halving.
+        below = F.col("_cuts")[F.col("_piece") + (step - 1)] < F.col("_v")
+        pieces = pieces.withColumn("_piece", F.col("_piece") + F.when(below, step).otherwise(0))
+    totals = pieces.groupBy("_key", "_piece").agg(
+        F.sum("_c").alias("_n"), F.first("_total").alias("_total")
     )
-    inside = null_safe_join(pieces, wanted.drop("_ranks", "_n"), [*key, "_piece"])
+    up_to = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0)))
+
+    def rank(p: float, how) -> Column:
+        return how((F.col("_total") - 1) * F.lit(p)).cast("long")
+
+    def inside(p: float, how) -> Column:
+        r = rank(p, how)
+        return (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+
+    hits = [inside(p, how) for p in probs.values() for how in (F.floor, F.ceil)]
+    wanted = offsets.filter(reduce(lambda a, b: a | b, hits)).select("_key", "_piece", "_before")
     running = (
-        Window.partitionBy(*key, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("_key", "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(running)).withColumn(
-        "_begin", F.col("_end") - F.col("_c")
+    placed = (
+        pieces.select("_key", "_piece", "_v", "_c", "_total")
+        .join(wanted, ["_key", "_piece"])
+        .withColumn("_end", F.col("_before") + F.sum("_c").over(running))
+        .withColumn("_begin", F.col("_end") - F.col("_c"))
     )
     picks = []
     for i, p in enumerate(probs.values()):
-        h = (F.col("_total") - 1) * F.lit(p)
-        for tag, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (rank >= F.col("_begin")) & (rank < F.col("_end"))
+        for tag, how in (("lo", F.floor), ("hi", F.ceil)):
+            hit = (rank(p, how) >= F.col("_begin")) & (rank(p, how) < F.col("_end"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
+        h = (F.col("_total") - 1) * F.lit(p)
         picks.append(F.max(h - F.floor(h)).alias(f"_f{i}"))
-    found = placed.groupBy(*key).agg(*picks)
-    values = [
+    found = placed.groupBy("_key").agg(*picks)
+    results = [
         (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name)
         for i, name in enumerate(probs)
     ]
-    return found.select(*by, *values)
+    return found.select(*[F.col("_key")[k].alias(k) for k in by], *results)

@@ -249,14 +249,17 @@ class TrialAnalysis:
         )
 
     def _with_draws(self, first: int, last: int, seed: int) -> DataFrame:
+        """Person rows with the replicates of the block that drew the person.
+
+        A person is drawn about once per replicate, so its list is about as long as
+        the block.
+        """
         persons, n = self.persons, self.person_count
         counts = (
             resample.draws(self.spark, n, first, last, seed)
             .repartition(self.tasks, "idx")
-            .groupBy("idx", "rep")
-            .agg(F.count(F.lit(1)).alias("n"))
             .groupBy("idx")
-            .agg(F.collect_list(F.struct("rep", F.col("n").cast("int").alias("n"))).alias("drawn"))
+            .agg(F.collect_list("rep").alias("drawn"))
         )
         return persons.join(counts, "idx", "left")
 
