@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+DRAWS_PER_TASK = 4_000_000
 
 
 def hash_number(text: Column, digits: int = 15) -> Column:
@@ -37,7 +38,8 @@ def draws(spark: SparkSession, n: int, first: int, last: int, seed: int) -> Data
     Draw ``d`` of replicate ``r`` is the MD5 sum of "seed|r|d" modulo n, so any part
     can be recomputed anywhere.
     """
-    rows = spark.range(first * n, last * n)
+    tasks = max(spark.sparkContext.defaultParallelism, (last - first) * n // DRAWS_PER_TASK)
+    rows = spark.range(first * n, last * n, 1, tasks)
     rep = F.floor(F.col("id") / n).cast("int")
     rows = rows.select(rep.alias("rep"), F.pmod(F.col("id"), F.lit(n)).alias("draw"))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string"))

@@ -21,7 +21,7 @@ from emulant.functions.design import Design
 from emulant.functions.sums import add_partitions
 from emulant.operators import gcomp, regression, resample, trials, weights
 from emulant.operators.weights import WeightDesigns
-from emulant.session import new_table_path
+from emulant.session import new_table_path, written
 from emulant.spec import PanelSpec
 
 REPLICATE_SCHEMA = (
@@ -48,6 +48,7 @@ class Plan:
     block: int = 256
     tol: float = 1e-10
     max_iter: int = 30
+    storage: str = "memory"  # "memory" persists tables, "shared" writes them to the shared folder
 
 
 @dataclass
@@ -121,8 +122,19 @@ class TrialAnalysis:
     def __init__(self, panel: DataFrame, plan: Plan):
         self.plan = plan
         self.spark = panel.sparkSession
-        self.panel = panel.persist()
-        self._held = [self.panel]
+        self._held: list[DataFrame] = []
+        self.panel = self._hold(panel, "panel")
+
+    def _hold(self, df: DataFrame, name: str) -> DataFrame:
+        """Keep a table that several passes read.
+
+        "memory" persists it: a lost executor costs the recomputation of its part.
+        "shared" writes it, which ends the lineage for long runs.
+        """
+        if self.plan.storage == "shared":
+            return written(df, name)
+        self._held.append(df.persist())
+        return self._held[-1]
 
     def close(self) -> None:
         for df in self._held:
@@ -147,9 +159,7 @@ class TrialAnalysis:
         """Trial rows with their weights."""
         p = self.plan
         weighted = weights.ip_weights(self.panel, p.spec, self.weight_fits, dict(p.eligible_wts) or None)
-        out = trials.emulate_trials(weighted, p.spec, p.covariates, p.estimand).persist()
-        self._held.append(out)
-        return out
+        return self._hold(trials.emulate_trials(weighted, p.spec, p.covariates, p.estimand), "trials")
 
     @cached_property
     def fit(self) -> regression.LogitFit:
@@ -220,9 +230,8 @@ class TrialAnalysis:
         count = index.count()
         tasks = max(min(self.spark.sparkContext.defaultParallelism, -(-count // 250)), -(-count // PERSONS_PER_TASK), 1)
         self.tasks = tasks
-        out = both.join(index, "id").select("idx", "visits", "rows").repartition(tasks, "idx").persist()
-        self._held.append(out)
-        return out
+        numbered = both.join(index, "id").select("idx", "visits", "rows")
+        return self._hold(numbered.repartition(tasks, "idx"), "persons")
 
     @cached_property
     def _codes(self) -> dict[str, list]:

@@ -11,6 +11,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
+from emulant.functions.kernel import positive_definite
 from emulant.functions.design import Design, Level, Term, cell_terms, linear_time_terms, visit_terms
 from emulant.operators import gcomp as G
 from emulant.operators import intervals as I
@@ -699,11 +700,45 @@ def bootstrap_standard_errors(spark, folder):
     return rounded(I.replicate_se(reps).drop("method"))
 
 
-@query("failed_replicates", f"{_DIRECT} SELECT count(DISTINCT rep) AS replicates, 0::BIGINT AS failed FROM reps")
+def _lost(k: int, n: str) -> str:
+    """Whether t_kA is aliased: no row of one of the arms at follow-up k."""
+    return f"""(coalesce(sum(CASE WHEN assigned_treatment = 1 AND followup_time = {k} THEN {n} END), 0) = 0
+      OR coalesce(sum(CASE WHEN assigned_treatment = 0 AND followup_time = {k} THEN {n} END), 0) = 0)"""
+
+
+@query(
+    "failed_replicates",
+    f"""WITH {Q.EVENT_PANEL5} {Q.TRIALS} {Q.draws(40, SEED)},
+    f AS (SELECT {_lost(4, '1')} AS f4, {_lost(3, '1')} AS f3 FROM pp),
+    l AS (SELECT rep, {_lost(4, 'n')} AS r4, {_lost(3, 'n')} AS r3 FROM pp JOIN counts USING (id) GROUP BY 1)
+    SELECT count(*) AS replicates, sum(CASE WHEN NOT f4 THEN r4 WHEN NOT f3 THEN r3 ELSE false END::INTEGER)::BIGINT AS failed FROM l, f""",
+)
 def failed_replicates(spark, folder):
-    """Replicates that lost a term. A cell design names no term that may be dropped."""
-    _, reps = _replicates(spark, folder, "bootstrap")
-    return I.failed_replicates(reps).drop("method")
+    """Replicates in which the treatment term of a late visit is lost."""
+    levels = [Level("followup_time", k) for k in range(1, VISITS)]
+    terms = [Term(f"t_{v.value}", (v,)) for v in levels]
+    terms += [Term(f"t_{v.value}A", (v, Level("assigned_treatment", 1))) for v in levels]
+    plan = Plan(
+        SPEC,
+        W.WeightDesigns(Design.of()),
+        Design.of("assigned_treatment", *terms),
+        drop_order=("t_4A", "t_3A"),
+    )
+    rows = S.event_panel(spark, folder).filter(F.col("t") < VISITS)
+    with TrialAnalysis(rows, plan) as a:
+        return I.failed_replicates(a.bootstrap(40, SEED, ("bootstrap",)).curves).drop("method")
+
+
+@query("covariance_check", f"{_CURVE} SELECT count(*) AS terms, true AS positive_definite FROM cell WHERE p > 0 AND p < 1")
+def covariance_check(spark, folder):
+    """Whether the robust covariance can be drawn from."""
+    rows = weighted_rows(spark, folder)
+    fit = M.fit_logit(rows, OUTCOME_CELLS, "outcome", "weight")
+    robust = M.sandwich(rows, fit, "outcome", "weight")
+    used = ~np.isnan(fit.coef)
+    return spark.createDataFrame(
+        [(int(used.sum()), positive_definite(robust[np.ix_(used, used)]))], "terms bigint, positive_definite boolean"
+    )
 
 
 @query(

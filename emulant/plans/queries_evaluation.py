@@ -80,13 +80,13 @@ def bias_sd_ratio(spark, folder):
 
 @query(
     "se_ratio",
-    f"""WITH {Q.RESULTS}, se AS (SELECT {CELL}, method, iter, (ub - lb) / 3.92 AS se FROM ci), sd AS (SELECT {CELL}, stddev_samp(est) AS sd
+    f"""WITH {Q.RESULTS}, se AS (SELECT {CELL}, method, iter, (ub - lb) / 3.919928 AS se FROM ci), sd AS (SELECT {CELL}, stddev_samp(est) AS sd
     FROM est GROUP BY ALL) SELECT {CELL}, method, iter, round(se / sd, 4) AS se_ratio FROM se JOIN sd USING ({CELL}) WHERE sd > 1e-4""",
 )
 def se_ratio(spark, folder):
     """Standard error of every method and iteration over the SD of the estimates."""
     errors = ci(spark, folder).select(
-        "outcome", "scenario", "visit", "method", "iter", ((F.col("ub") - F.col("lb")) / 3.92).alias("se")
+        "outcome", "scenario", "visit", "method", "iter", ((F.col("ub") - F.col("lb")) / 3.919928).alias("se")
     )
     out = V.se_ratio(errors, est(spark, folder)).filter("sd > 1e-4")
     return rounded(out.select("outcome", "scenario", "visit", "method", "iter", "se_ratio"), 4)

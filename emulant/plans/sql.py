@@ -123,7 +123,7 @@ reps AS (SELECT a.rep, a.followup_time, a.s * share.s AS survival_treatment, b.s
   FROM rs a JOIN rs b USING (rep, followup_time) JOIN share USING (rep)
   WHERE a.assigned_treatment = 1 AND b.assigned_treatment = 0)"""
 
-EVENT_PANEL = """
+EVENT_HISTORY = """
 b AS (SELECT user_id AS id, least(floor(date_diff('day', DATE '2024-01-01', ts::DATE) / 5), 5)::INTEGER AS t,
     CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) >= 3 THEN 1 ELSE 0 END AS A,
     max(CASE WHEN event_type = 'error' AND value >= 120 THEN 1 ELSE 0 END) AS ev, sum(value) AS spend
@@ -137,8 +137,14 @@ h AS (SELECT *, coalesce(lag(A) OVER p, 0) AS Ap,
     ln(1 + coalesce(lag(spend) OVER p, 0)) AS X2,
     ln(1 + first_value(spend) OVER p) AS X4
   FROM j WINDOW p AS (PARTITION BY id ORDER BY t)),
-panel AS (SELECT *, greatest(ev, Yp) AS Y, CASE WHEN CAp = 0 AND Yp = 0 THEN 1 ELSE 0 END AS eligible,
-    CASE WHEN t = 0 THEN 'first' ELSE 'later' END AS c_mktsegment FROM h WHERE Yp = 0 AND t <= 2)"""
+seen AS (SELECT *, greatest(ev, Yp) AS Y, CASE WHEN CAp = 0 AND Yp = 0 THEN 1 ELSE 0 END AS eligible,
+    CASE WHEN t = 0 THEN 'first' ELSE 'later' END AS c_mktsegment FROM h WHERE Yp = 0)"""
+
+EVENT_PANEL = EVENT_HISTORY + """,
+panel AS (SELECT * FROM seen WHERE t <= 2)"""
+
+EVENT_PANEL5 = EVENT_HISTORY + """,
+panel AS (SELECT * FROM seen WHERE t <= 4)"""
 
 ESTIMATES = """
 li AS (SELECT l_orderkey, l_linenumber - 1 AS v, avg(l_discount) AS d, avg(l_tax) AS x, avg(l_quantity) AS q
