@@ -115,9 +115,11 @@ def normal_draws(mean: np.ndarray, cov: np.ndarray, size: int, seed: int) -> np.
 class Newton:
     """Newton iterations of ``r`` fits that share a design.
 
-    Starts at zero, where the information matrix shows which terms are aliased.
-    Stops a fit when the deviance changes by less than ``tol`` (relative), so its
-    information matrix belongs to the final coefficients.
+    The first information matrix shows which terms are aliased. A fit stops when the
+    deviance changes by less than ``tol`` (relative), so its information matrix belongs
+    to the final coefficients. With ``last_step`` a fit already stops once the next
+    step promises no larger change, and takes that step: one pass less where the
+    matrix is not needed.
     """
 
     p: int
@@ -126,13 +128,17 @@ class Newton:
     max_iter: int = 30
     names: tuple[str, ...] = ()
     drop_order: tuple[str, ...] = ()
+    start: np.ndarray | None = None
+    last_step: bool = False
     coef: np.ndarray = field(init=False)
     keep: np.ndarray = field(init=False)
     done: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.coef = np.zeros((self.p, self.r))
-        self.prev = np.zeros((self.p, self.r))
+        if self.start is not None:
+            self.coef += self.start[:, None]
+        self.prev = self.coef.copy()
         self.keep = np.ones((self.p, self.r), dtype=bool)
         self.done = np.zeros(self.r, dtype=bool)
         self.converged = np.zeros(self.r, dtype=bool)
@@ -158,9 +164,15 @@ class Newton:
             self.gram[r], self.tail[r] = gram, tail
             if first:
                 self.keep[:, r] = independent_terms(gram)
+                if self.start is not None and self.start[~self.keep[:, r]].any():
+                    # The start used a term this fit lacks: begin anew.
+                    self.coef[:, r] = self.prev[:, r] = 0.0
+                    continue
                 if not self.keep[:, r].any():
                     self.done[r] = True
                     continue
+            elif not np.isfinite(old):
+                pass
             elif abs(dev - old) <= self.tol * (abs(dev) + 0.1):
                 self.deviance[r], self.done[r], self.converged[r] = dev, True, True
                 continue
@@ -179,6 +191,8 @@ class Newton:
                 continue
             self.prev[:, r] = self.coef[:, r]
             self.coef[idx, r] += step
+            if self.last_step and abs(score[idx] @ step) <= self.tol * (abs(dev) + 0.1):
+                self.done[r] = self.converged[r] = True
         if self.passes >= 2 * self.max_iter:
             self.done[:] = True
 

@@ -226,7 +226,7 @@ class TrialAnalysis:
         visits = packed(self.panel, visit_cols, "visits", k).withColumnRenamed(spec.id, "id")
         rows = packed(self.expanded, row_cols, "rows", k * (k + 1) // 2)
         both = visits.join(rows, "id")
-        index = resample.person_index(self.expanded, "id")
+        index = self._hold(resample.person_index(self.expanded, "id"), "index")
         count = index.count()
         tasks = max(min(self.spark.sparkContext.defaultParallelism, -(-count // 250)), -(-count // PERSONS_PER_TASK), 1)
         self.tasks = tasks
@@ -288,7 +288,10 @@ class TrialAnalysis:
         """Weight-model coefficients of every replicate (terms x replicates)."""
         p = self.plan
         state = [
-            kernel.Newton(len(design), lay.replicates, p.tol, p.max_iter) for _, design, _, _ in lay.models
+            kernel.Newton(
+                len(design), lay.replicates, p.tol, p.max_iter, start=self.weight_fits[name].filled, last_step=True
+            )
+            for name, design, _, _ in lay.models
         ]
         size = max(kernel.width(s.p) for s in state)
         while any(len(s.active) for s in state):
@@ -331,6 +334,8 @@ class TrialAnalysis:
             p.max_iter,
             names=tuple(lay.outcome.names),
             drop_order=p.drop_order,
+            start=self.fit.filled,
+            last_step=True,
         )
         while len(s.active):
             active, b = s.active, s.coef[:, s.active]
