@@ -260,7 +260,7 @@ def wide_to_long_coverage(spark, folder):
 
 @query(
     "bounds_from_columns",
-    f"""WITH {Q.RESULTS} SELECT iter, visit, method, min(lb) AS lb, min(ub) AS ub FROM ci WHERE outcome = 'low' AND method IN ('bootstrap', 'sandwich')
+    f"""WITH {Q.RESULTS} SELECT iter, visit, method, round(min(lb), 6) AS lb, round(min(ub), 6) AS ub FROM ci WHERE outcome = 'low' AND method IN ('bootstrap', 'sandwich')
     GROUP BY ALL""",
 )
 def bounds_from_columns(spark, folder):
@@ -321,7 +321,7 @@ def flipped_sign(spark, folder):
 
 @query(
     "stacked_scenarios",
-    f"WITH {Q.ESTIMATES} SELECT outcome, scenario, visit, iter, est, CASE outcome WHEN 'low' THEN -4.7 WHEN 'med' THEN -3.8 ELSE -3.0 END::DOUBLE AS outcome_prev FROM est",
+    f"WITH {Q.ESTIMATES} SELECT outcome, scenario, visit, iter, round(est, 6) AS est, CASE outcome WHEN 'low' THEN -4.7 WHEN 'med' THEN -3.8 ELSE -3.0 END::DOUBLE AS outcome_prev FROM est",
 )
 def stacked_scenarios(spark, folder):
     """Tables of the three event rates, tagged and stacked."""
@@ -330,7 +330,7 @@ def stacked_scenarios(spark, folder):
         for o, p in zip(S.OUTCOMES, (-4.7, -3.8, -3.0))
     ]
     stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return stacked.select("outcome", "scenario", "visit", "iter", "est", "outcome_prev")
+    return rounded(stacked.select("outcome", "scenario", "visit", "iter", "est", "outcome_prev"))
 
 
 @query(

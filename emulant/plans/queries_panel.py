@@ -72,7 +72,7 @@ def panel_parquet_read(spark, folder):
     return rounded(read.filter("eligible = 1").select("id", "t", "A", "Y", "X2"))
 
 
-@query("results_partitioned_round_trip", f"WITH {Q.RESULTS} SELECT * FROM ci WHERE outcome = 'low' AND scenario <= 9")
+@query("results_partitioned_round_trip", f"WITH {Q.RESULTS} SELECT outcome, scenario, iter, visit, method, round(est, 6) AS est, round(lb, 6) AS lb, round(ub, 6) AS ub FROM ci WHERE outcome = 'low' AND scenario <= 9")
 def results_partitioned_round_trip(spark, folder):
     """Write interval results by outcome and scenario, read back some folders."""
     path = new_table_path(spark, "results")

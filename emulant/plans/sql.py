@@ -151,15 +151,15 @@ li AS (SELECT l_orderkey, l_linenumber - 1 AS v, avg(l_discount) AS d, avg(l_tax
   FROM lineitem GROUP BY 1, 2),
 est AS (SELECT (['low','med','high'])[((l_orderkey // 27) % 3 + 1)::INTEGER] AS outcome,
     (l_orderkey % 27 + 1)::INTEGER AS scenario, l_orderkey * 2 + CASE WHEN v >= 5 THEN 1 ELSE 0 END AS iter,
-    (v % 5)::INTEGER AS visit, round(d - x, 6) AS est, round(1 - x, 6) AS surv0, round(1 - d, 6) AS surv1,
-    round(0.02 + q / 1000, 6) AS half FROM li)"""
+    (v % 5)::INTEGER AS visit, exp(-x) - exp(-d) AS est, exp(-x) AS surv0, exp(-d) AS surv1,
+    0.02 * exp(q / 50) AS half FROM li)"""
 
 RESULTS = ESTIMATES + """,
 meth AS (SELECT * FROM (VALUES (0,'bootstrap'),(1,'lef_outcome'),(2,'lef_both'),(3,'sandwich'),
     (4,'jackknife_mvn'),(5,'jackknife_wald')) m(m, method)),
 ci AS (SELECT outcome, scenario, iter, visit, method, est,
-    CASE WHEN ((iter // 2) + m) % 11 <> 0 THEN round(est - 0.9 * (half * (1 + 0.1 * m)), 6) END AS lb,
-    CASE WHEN ((iter // 2) + m) % 11 <> 0 THEN round(est + 1.1 * (half * (1 + 0.1 * m)), 6) END AS ub
+    CASE WHEN ((iter // 2) + m) % 11 <> 0 THEN est - 0.9 * (half * (1 + 0.1 * m)) END AS lb,
+    CASE WHEN ((iter // 2) + m) % 11 <> 0 THEN est + 1.1 * (half * (1 + 0.1 * m)) END AS ub
   FROM est CROSS JOIN meth)"""
 
 TRUTH = """,

@@ -171,10 +171,10 @@ def replicate_estimates(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_orderkey") % 27 + 1).cast("int").alias("scenario"),
         (F.col("l_orderkey") * 2 + F.when(F.col("_v") >= 5, 1).otherwise(0)).alias("iter"),
         (F.col("_v") % 5).cast("int").alias("visit"),
-        F.round(F.col("_d") - F.col("_x"), 6).alias("est"),
-        F.round(1.0 - F.col("_x"), 6).alias("surv0"),
-        F.round(1.0 - F.col("_d"), 6).alias("surv1"),
-        F.round(0.02 + F.col("_q") / 1000.0, 6).alias("half"),
+        (F.exp(-F.col("_x")) - F.exp(-F.col("_d"))).alias("est"),
+        F.exp(-F.col("_x")).alias("surv0"),
+        F.exp(-F.col("_d")).alias("surv1"),
+        (0.02 * F.exp(F.col("_q") / 50.0)).alias("half"),
     )
 
 
@@ -193,8 +193,8 @@ def interval_results(spark: SparkSession, folder: str) -> DataFrame:
         "visit",
         "method",
         "est",
-        F.when(ok, F.round(F.col("est") - 0.9 * width, 6)).alias("lb"),
-        F.when(ok, F.round(F.col("est") + 1.1 * width, 6)).alias("ub"),
+        F.when(ok, F.col("est") - 0.9 * width).alias("lb"),
+        F.when(ok, F.col("est") + 1.1 * width).alias("ub"),
     )
 
 
