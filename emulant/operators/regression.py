@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emulant.functions import kernel
 from emulant.functions.design import Design
 from emulant.functions.sums import add_partitions, list_matrix
+from emulant.session import keep
 
 COEFFICIENT_SCHEMA = "model string, term string, estimate double, std_error double"
 COVARIANCE_SCHEMA = "model string, term_i string, term_j string, value double"
@@ -102,7 +103,7 @@ def fit_models(
         if m.where is not None:
             w = F.when(m.where, w).otherwise(0.0)
         columns += [m.y.cast("double").alias(f"y{i}"), w.alias(f"w{i}")]
-    rows = df.select(*columns).persist()
+    rows = keep(df.select(*columns))
     which = [designs.index(m.design) for m in models.values()]
     sizes = [len(d) for d in designs]
     state = {
@@ -260,7 +261,7 @@ def sandwich(
             out = add if out is None else out + add
         return out
 
-    rows = vectors.persist()
+    rows = keep(vectors)
     try:
         sums = add_partitions(rows, 1, p * p + 1, outer)[0]
     finally:

@@ -21,7 +21,7 @@ from emulant.functions.design import Design
 from emulant.functions.sums import add_partitions
 from emulant.operators import gcomp, regression, resample, trials, weights
 from emulant.operators.weights import WeightDesigns
-from emulant.session import new_table_path, written
+from emulant.session import keep, new_table_path, written
 from emulant.spec import PanelSpec
 
 REPLICATE_SCHEMA = (
@@ -133,7 +133,7 @@ class TrialAnalysis:
         """
         if self.plan.storage == "shared":
             return written(df, name)
-        self._held.append(df.persist())
+        self._held.append(keep(df))
         return self._held[-1]
 
     def close(self) -> None:
@@ -397,7 +397,7 @@ class TrialAnalysis:
 
         def prepared() -> Iterator[tuple[DataFrame, people.Layout]]:
             for lo, hi in blocks:
-                rows = self._with_draws(lo, hi, seed).persist()
+                rows = keep(self._with_draws(lo, hi, seed))
                 yield rows, self._layout(hi - lo, lo, "drawn")
                 rows.unpersist()
 

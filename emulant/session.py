@@ -52,3 +52,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ADAPTIVE_CACHE = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist ``df`` with partitions sized from its data.
+
+    Adaptive execution only merges the partitions of a persisted plan if the session
+    allows it; the setting is turned on for this plan and then put back. Without it
+    every pass over a small table would start one task per shuffle partition.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(ADAPTIVE_CACHE, None)
+    conf.set(ADAPTIVE_CACHE, "true")
+    try:
+        return df.persist()
+    finally:
+        if before is None:
+            conf.unset(ADAPTIVE_CACHE)
+        else:
+            conf.set(ADAPTIVE_CACHE, before)
