@@ -17,6 +17,7 @@ names of helper columns are made so that they cannot clash.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»·•"
-CLOSING = r"[.!?;:…。！？\"'”’)\]]"
+CLOSING = ".!?;:…。！？\"'”’)]"
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Phrases of lines that belong to a site or a licence, not to a text.
 BOILERPLATE = (
@@ -60,25 +62,24 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Number of characters of ``text`` that are in ``chars``."""
+    return F.regexp_count(text, F.lit("[" + "".join("\\" + c if c in "[]^-&|" else c for c in chars) + "]"))
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line with at least one word breaks a rule."""
-    words = F.size(words_of(line))
-    separators = _without(line, SEPARATORS)
-    nav = (separators >= 3) & (separators >= rules.nav_share * words)
-    boilerplate = F.lit(False)
-    low = F.lower(line)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    symbols = _without(line, SYMBOLS) > rules.symbol_share * words
+def line_fails(line: Column, words: Column, rules: Rules) -> Column:
+    """Whether a line with ``words`` words, one at least, breaks a rule."""
+    nav = _count(line, SEPARATORS) >= F.greatest(F.lit(3.0), rules.nav_share * words)
+    # Lower case is made once for all phrases.
+    boilerplate = F.exists(
+        F.array(F.lower(line)), lambda low: functools.reduce(lambda a, b: a | b, [low.contains(x) for x in BOILERPLATE])
+    )
+    symbols = _count(line, SYMBOLS) > rules.symbol_share * words
     shouts = (words >= 3) & (F.regexp_count(line, F.lit(rf"[!?]{{2}}(?=[{SPACE}]|$)")) > rules.shout_share * words)
     same = (words >= 6) & (
-        F.regexp_count(line, F.lit(rf"(?<![^{SPACE}])({WORD})[{SPACE}]+(?=\1(?:[{SPACE}]|$))")) > rules.same_word_share * words
+        F.regexp_count(line, F.lit(rf"(?:^|[{SPACE}])(?=({WORD}+)[{SPACE}]++\1(?:[{SPACE}]|$))")) > rules.same_word_share * words
     )
-    unclosed = (words >= rules.open_words) & ~line.rlike(rf"{CLOSING}[{SPACE}]*$")
+    unclosed = (words >= rules.open_words) & ~F.right(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(1)).isin(*CLOSING)
     return nav | boilerplate | symbols | shouts | same | unclosed
 
 
@@ -90,15 +91,18 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     by line feeds; lines without a word stay).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    t, w, h, s, p, ln = (f"_quality_{x}" for x in ("text", "words", "hashes", "sorted", "places", "lines"))
+    t, w, g, h, s, p, ln = (f"_quality_{x}" for x in ("text", "words", "hashes", "windows", "sorted", "places", "lines"))
     k = rules.window
     out = docs.withColumn(t, text).withColumn(w, words_of(F.col(t)))
     n = F.size(w)
-    # One 64-bit hash for each window of k words, in order.
+    # One 64-bit hash for each window of k words, in order, from the hashes of its words.
+    # (slice() would copy the whole array for each window.)
+    out = out.withColumn(g, F.transform(F.col(w), lambda x: F.xxhash64(x)))
     out = out.withColumn(
         h,
         F.when(
-            n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(F.col(w), i, F.lit(k))))
+            n >= k,
+            F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(F.col(g), i + j) for j in range(k)])),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     # Places of windows found more than once: neighbours among the sorted hashes.
@@ -128,12 +132,14 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.lit(0),
         lambda a, x: a + x,
     )
+    # Two steps, so that the words of a line are counted once.
+    counted = F.transform(
+        F.split(F.col(t), "\n"), lambda line: F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words"))
+    )
     lines = F.transform(
-        F.split(F.col(t), "\n"),
-        lambda line: F.struct(
-            line.alias("line"),
-            F.size(words_of(line)).alias("words"),
-            F.when(line.rlike(rf"[^{SPACE}]"), line_fails(line, rules)).otherwise(F.lit(False)).alias("fails"),
+        counted,
+        lambda x: x.withField(
+            "fails", F.when(x["words"] > 0, line_fails(x["line"], x["words"], rules)).otherwise(F.lit(False))
         ),
     )
     out = out.withColumn(ln, lines)
@@ -143,13 +149,13 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     quality = F.struct(
         n.cast("long").alias("n_words"),
         F.aggregate(F.col(w), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        _without(F.col(t), SYMBOLS).cast("long").alias("n_symbols"),
+        _count(F.col(t), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         kept_words.cast("long").alias("kept_words"),
         F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("clean_text"),
     )
-    out = out.withColumn("quality", quality).drop(t, w, h, s, p, ln)
+    out = out.withColumn("quality", quality).drop(t, w, g, h, s, p, ln)
     q = F.col("quality")
     failed = (q["n_words"] < rules.least_words) | (100 * q["n_repeat_words"] > rules.most_repeat_pct * q["n_words"])
     kept = ~failed & (q["kept_words"] >= rules.least_share * q["n_words"])
