@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from emulant.llm import queries_clean  # noqa: F401
+from emulant.llm import queries_clean, queries_output  # noqa: F401
 from emulant.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
