@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from emulant.llm import queries_clean, queries_leaks, queries_output, queries_pairs  # noqa: F401
+from emulant.llm import queries_clean, queries_leaks, queries_output, queries_pairs, queries_safety  # noqa: F401
 from emulant.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
