@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emulant.llm import neardup
+from emulant.llm import neardup, passages
 from emulant.llm.registry import query, table
 
 
@@ -13,3 +14,12 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near duplicates of every document, and whether the document stays."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs).select("doc_id", "near.class_id", "near.kept")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of documents that share passages, number of links, and repeated spans, for every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    p = passages.repeated_passages(docs)
+    joined = F.array_join(F.transform("passages.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return p.select("doc_id", "passages.class_id", "passages.n_links", F.coalesce(joined, F.lit("")).alias("spans"))
