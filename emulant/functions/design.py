@@ -33,7 +33,11 @@ class Level:
         return (F.col(self.column) == F.lit(self.value)).cast("double")
 
     def numpy(self, data: Mapping[str, np.ndarray]) -> np.ndarray:
-        return (data[self.column] == self.value).astype(np.float64)
+        values = np.asarray(data[self.column])
+        out = (values == self.value).astype(np.float64)
+        if values.dtype.kind == "f":
+            out[np.isnan(values)] = np.nan  # a missing level leaves the row out, as in Spark
+        return out
 
 
 @dataclass(frozen=True)

@@ -115,7 +115,8 @@ def normal_draws(mean: np.ndarray, cov: np.ndarray, size: int, seed: int) -> np.
 class Newton:
     """Newton iterations of ``r`` fits that share a design.
 
-    The first information matrix shows which terms are aliased. A fit stops when the
+    The first information matrix shows which terms are aliased; where a start other
+    than 0 makes any look so, the fit begins anew at 0 and is tested there. A fit stops when the
     deviance changes by less than ``tol`` (relative), so its information matrix belongs
     to the final coefficients. With ``last_step`` a fit already stops once the next
     step promises no larger change, and takes that step: one pass less where the
@@ -142,6 +143,7 @@ class Newton:
         self.keep = np.ones((self.p, self.r), dtype=bool)
         self.done = np.zeros(self.r, dtype=bool)
         self.converged = np.zeros(self.r, dtype=bool)
+        self.tested = np.zeros(self.r, dtype=bool)
         self.deviance = np.full(self.r, np.nan)
         self.gram = np.zeros((self.r, self.p, self.p))
         self.tail = np.zeros((self.r, TAIL))
@@ -153,7 +155,6 @@ class Newton:
 
     def update(self, sums: np.ndarray) -> None:
         """Take the sums of the active fits at their coefficients and step on."""
-        first = self.passes == 0
         self.passes += 1
         for row, r in zip(sums, self.active):
             gram, score, tail = unpack(row, self.p)
@@ -162,14 +163,17 @@ class Newton:
                 self.done[r] = True
                 continue
             self.gram[r], self.tail[r] = gram, tail
-            if first:
-                self.keep[:, r] = independent_terms(gram)
-                if self.start is not None and self.start[~self.keep[:, r]].any():
-                    # The start used a term this fit lacks: begin anew.
+            if not self.tested[r]:
+                keep = independent_terms(gram)
+                if not keep.all() and self.coef[:, r].any():
+                    # Where the start predicts next to 0 or 1, a term only looks aliased;
+                    # at 0 all rows weigh alike, so the test is made there.
                     self.coef[:, r] = self.prev[:, r] = 0.0
                     continue
-                if not self.keep[:, r].any():
-                    self.done[r] = True
+                self.keep[:, r], self.tested[r] = keep, True
+                if not keep.any():
+                    # No row has weight: there is nothing to fit.
+                    self.done[r] = self.converged[r] = True
                     continue
             elif not np.isfinite(old):
                 pass

@@ -144,11 +144,14 @@ def replicate_weights(p: People, lay: Layout, coefs: Mapping[str, np.ndarray]) -
         eta = np.where(prev == 1, linear(f"{kind}1"), linear(f"{kind}0"))
         return _sigmoid(np.where((prev == 0) | (prev == 1), eta, np.nan))
 
-    pn, pd = by_stratum("switch_n"), by_stratum("switch_d")
-    wt = np.where(taken == 1, pn / pd, (1.0 - pn) / (1.0 - pd))
-    wt[~np.isin(v[lay.treatment], (0.0, 1.0))] = np.nan
-    for stratum, flag in lay.eligible_wts:
-        wt = np.where((prev == stratum) & (v[flag][:, None] == 0), 1.0, wt)
+    if "switch_d0" in designs:
+        pn, pd = by_stratum("switch_n"), by_stratum("switch_d")
+        wt = np.where(taken == 1, pn / pd, (1.0 - pn) / (1.0 - pd))
+        wt[~np.isin(v[lay.treatment], (0.0, 1.0))] = np.nan
+        for stratum, flag in lay.eligible_wts:
+            wt = np.where((prev == stratum) & (v[flag][:, None] == 0), 1.0, wt)
+    else:
+        wt = np.ones((nv, r))
     if "censor_d" in designs:
         cn, cd = _sigmoid(linear("censor_n")), _sigmoid(linear("censor_d"))
     elif "censor_d0" in designs:

@@ -258,12 +258,13 @@ def replicate_mean(est: DataFrame, by: Sequence[str], value: str = "est") -> Dat
 def pool_truth(
     truths: Sequence[DataFrame], weights: Sequence[float], on: Sequence[str], value: str = "mrd"
 ) -> DataFrame:
-    """Weighted mean of the truths of several runs, by key."""
+    """Weighted mean of the truths of several runs, by key; NULL where one of them is."""
     parts = None
     for df, w in zip(truths, weights):
         part = df.select(*on, (F.col(value) * w).alias("_v"), F.lit(float(w)).alias("_w"))
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy(*on).agg((F.sum("_v") / F.sum("_w")).alias(value))
+    known = F.count("_v") == F.count(F.lit(1))
+    return parts.groupBy(*on).agg(F.when(known, F.sum("_v") / F.sum("_w")).alias(value))
 
 
 def truth_diff(a: DataFrame, b: DataFrame, on: Sequence[str], digits: int = 3, value: str = "mrd") -> DataFrame:

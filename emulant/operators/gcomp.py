@@ -151,12 +151,30 @@ def km(df: DataFrame, by: Sequence[str] = (), id: str = "id", time: str = "t", s
 
 
 def km_difference(df: DataFrame, arm: str, id: str = "id", time: str = "t", status: str = "Y") -> DataFrame:
-    """Kaplan-Meier curves of both arms side by side, with difference and risk difference."""
-    curves = km(df, [arm], id, time, status)
-    sides = curves.groupBy("time").agg(
-        F.max(F.when(F.col(arm) == 1, F.col("survival"))).alias("survival_treatment"),
-        F.max(F.when(F.col(arm) == 0, F.col("survival"))).alias("survival_control"),
-    )
+    """Kaplan-Meier curves of both arms side by side, with difference and risk difference.
+
+    Every time at which a person of either arm leaves has both curves: an arm that nobody
+    leaves then keeps its survival, 1 before its first time. An arm without persons is NULL.
+    """
+    last = df.groupBy(arm, id).agg(F.max(time).alias("time"), F.max_by(status, time).alias("status"))
+    counts = {}
+    for side in (0, 1):
+        here = F.when(F.col(arm) == side, 1)
+        counts[f"_leaving{side}"] = F.count(here)
+        counts[f"_event{side}"] = F.coalesce(F.sum(here * F.col("status")), F.lit(0)).cast("long")
+    per_time = last.filter(F.col(arm).isin(0, 1)).groupBy("time").agg(*[c.alias(n) for n, c in counts.items()])
+    order = Window.orderBy("time")
+    from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everyone = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    risk = per_time.withColumns({f"_risk{s}": F.sum(f"_leaving{s}").over(from_here) for s in (0, 1)})
+    sides = risk.select("time", *[
+        F.when(
+            F.sum(f"_leaving{s}").over(everyone) > 0,
+            F.product(F.when(F.col(f"_risk{s}") > 0, F.lit(1.0) - F.col(f"_event{s}") / F.col(f"_risk{s}")).otherwise(F.lit(1.0))).over(so_far),
+        ).alias(name)
+        for s, name in ((1, "survival_treatment"), (0, "survival_control"))
+    ])
     return sides.select(
         F.col("time").alias("followup_time"),
         *curve_columns(F.col("survival_treatment"), F.col("survival_control")),

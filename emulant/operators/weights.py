@@ -21,10 +21,11 @@ class WeightDesigns:
     """Designs of the weight models.
 
     Switch models are fitted apart for persons untreated and treated at the
-    previous visit. Censor models, if any, are too, unless ``pooled``.
+    previous visit; with ``switch_d`` None there are none, and switching is not
+    weighted. Censor models, if any, are apart too, unless ``pooled``.
     """
 
-    switch_d: Design
+    switch_d: Design | None
     switch_n: Design = INTERCEPT
     censor_d: Design | None = None
     censor_n: Design = INTERCEPT
@@ -33,7 +34,7 @@ class WeightDesigns:
     def models(self) -> list[tuple[str, Design, str, int | None]]:
         """(name, design, response kind, stratum) of every model."""
         out: list[tuple[str, Design, str, int | None]] = []
-        for stratum in (0, 1):
+        for stratum in (0, 1) if self.switch_d is not None else ():
             out.append((f"switch_d{stratum}", self.switch_d, "treatment", stratum))
             out.append((f"switch_n{stratum}", self.switch_n, "treatment", stratum))
         if self.censor_d is not None:
@@ -112,7 +113,8 @@ def visit_weights(
     """Add the weight of each visit.
 
     ``eligible_wts`` maps a stratum (previous treatment) to a flag column; rows of
-    that stratum with flag 0 get switch weight 1.
+    that stratum with flag 0 get switch weight 1. Without switch models every switch
+    weight is 1.
     """
     prev = F.col(spec.prev_treatment)
 
@@ -124,7 +126,10 @@ def visit_weights(
         applies = F.lit(True)
         for stratum, flag in eligible_wts.items():
             applies = applies & ~((prev == stratum) & (F.col(flag) == 0))
-    wt = row_weight(F.col(spec.treatment), by_stratum("switch_n"), by_stratum("switch_d"), applies)
+    if "switch_d0" in fits:
+        wt = row_weight(F.col(spec.treatment), by_stratum("switch_n"), by_stratum("switch_d"), applies)
+    else:
+        wt = F.lit(1.0)
     if "censor_d" in fits:
         wt = wt * censor_weight(predict(fits["censor_n"]), predict(fits["censor_d"]))
     elif "censor_d0" in fits:
@@ -132,15 +137,19 @@ def visit_weights(
     return panel.withColumn(name, wt)
 
 
-def cum_weight(df: DataFrame, spec: PanelSpec, weight: str = "wt", name: str = "cum_weight") -> DataFrame:
+def cum_weight(
+    df: DataFrame, spec: PanelSpec, weight: str = "wt", name: str = "cum_weight", keep_missing: bool = False
+) -> DataFrame:
     """Running product of visit weights by person, in visit order.
 
-    Rows without a weight are dropped first. The first visit keeps its own ratio;
+    Rows without a weight are dropped, or stay with a NULL product (``keep_missing``, for
+    a panel whose trials are emulated next); the product passes over them. The first visit keeps its own ratio;
     it cancels once weights are taken relative to the start of a trial.
     """
-    return df.filter(F.col(weight).isNotNull()).withColumn(
-        name, F.product(F.col(weight)).over(spec.so_far())
-    )
+    known, running = F.col(weight).isNotNull(), F.product(F.col(weight)).over(spec.so_far())
+    if keep_missing:
+        return df.withColumn(name, F.when(known, running))
+    return df.filter(known).withColumn(name, running)
 
 
 def ip_weights(
@@ -148,9 +157,10 @@ def ip_weights(
     spec: PanelSpec,
     fits: Mapping[str, LogitFit],
     eligible_wts: Mapping[int, str] | None = None,
+    keep_missing: bool = False,
 ) -> DataFrame:
     """Visit weights and their running product."""
-    return cum_weight(visit_weights(panel, spec, fits, eligible_wts), spec)
+    return cum_weight(visit_weights(panel, spec, fits, eligible_wts), spec, keep_missing=keep_missing)
 
 
 def start_weight(weights: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -202,13 +212,14 @@ def single_trial(
 
     Persons with no treatment before their first visit, covariates frozen at that
     visit, weights accumulated from the second visit on (the first is 1), and the
-    running count of treated visits ``CA``.
+    running count of treated visits ``CA``. From a visit without a weight on, the
+    accumulated weight is NULL.
     """
     first = F.row_number().over(spec.person()) == 1
     weighted = visit_weights(panel, spec, fits).withColumn("wt", F.when(first, 1.0).otherwise(F.col("wt")))
     out = weighted.withColumns(
         {
-            "weight": F.product("wt").over(spec.so_far()),
+            "weight": F.when(~F.max(F.col("wt").isNull()).over(spec.so_far()), F.product("wt").over(spec.so_far())),
             "CA": F.sum(spec.treatment).over(spec.so_far()),
             "_start": F.first("CAp").over(spec.so_far()),
             **{c: F.first(c).over(spec.so_far()) for c in baseline},

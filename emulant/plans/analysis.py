@@ -50,6 +50,11 @@ class Plan:
     max_iter: int = 30
     storage: str = "memory"  # "memory" persists tables, "shared" writes them to the shared folder
 
+    @property
+    def weight_designs(self) -> WeightDesigns:
+        """Designs in use: intention to treat follows switchers, so switching has no weight."""
+        return replace(self.weights, switch_d=None) if self.estimand == "ITT" else self.weights
+
 
 @dataclass
 class Replicates:
@@ -152,13 +157,15 @@ class TrialAnalysis:
     @cached_property
     def weight_fits(self) -> dict[str, regression.LogitFit]:
         p = self.plan
-        return weights.fit_weight_models(self.panel, p.spec, p.weights, tol=p.tol, max_iter=p.max_iter)
+        if not p.weight_designs.models():
+            return {}
+        return weights.fit_weight_models(self.panel, p.spec, p.weight_designs, tol=p.tol, max_iter=p.max_iter)
 
     @cached_property
     def expanded(self) -> DataFrame:
-        """Trial rows with their weights."""
+        """Trial rows with their weights; visits without a weight are part of the trials, with NULL."""
         p = self.plan
-        weighted = weights.ip_weights(self.panel, p.spec, self.weight_fits, dict(p.eligible_wts) or None)
+        weighted = weights.ip_weights(self.panel, p.spec, self.weight_fits, dict(p.eligible_wts) or None, keep_missing=True)
         return self._hold(trials.emulate_trials(weighted, p.spec, p.covariates, p.estimand), "trials")
 
     @cached_property
@@ -202,7 +209,7 @@ class TrialAnalysis:
         p, spec = self.plan, self.plan.spec
         visit_cols = [spec.period, spec.treatment, spec.prev_treatment]
         visit_cols += [spec.censor] if p.weights.censor_d is not None else []
-        visit_cols += [c for _, d, _, _ in p.weights.models() for c in d.columns]
+        visit_cols += [c for _, d, _, _ in p.weight_designs.models() for c in d.columns]
         visit_cols += [flag for _, flag in p.eligible_wts]
         visit_cols = list(dict.fromkeys(visit_cols))
         row_cols = ["trial_period", "followup_time", "assigned_treatment", "outcome"]
@@ -236,7 +243,7 @@ class TrialAnalysis:
     @cached_property
     def _codes(self) -> dict[str, list]:
         """Levels of string covariates, by whose position persons carry them."""
-        designs = [d for _, d, _, _ in self.plan.weights.models()] + [self.fit.design]
+        designs = [d for _, d, _, _ in self.plan.weight_designs.models()] + [self.fit.design]
         strings = {f.name for f in self.panel.schema if isinstance(f.dataType, T.StringType)}
         return {c: list(dict.fromkeys(v for d in designs for v in d.levels(c))) for c in strings if any(d.levels(c) for d in designs)}
 
@@ -251,7 +258,7 @@ class TrialAnalysis:
             prev_treatment=spec.prev_treatment,
             period=spec.period,
             censor=spec.censor,
-            models=tuple((n, d.coded(self._codes), y, s) for n, d, y, s in p.weights.models()),
+            models=tuple((n, d.coded(self._codes), y, s) for n, d, y, s in p.weight_designs.models()),
             eligible_wts=p.eligible_wts,
             outcome=self.fit.design.coded(self._codes),
             trials=p.trials,
@@ -284,8 +291,8 @@ class TrialAnalysis:
 
         return add_partitions(rows, keys, size, partial)
 
-    def _refit_weights(self, rows: DataFrame, lay: people.Layout) -> dict[str, np.ndarray]:
-        """Weight-model coefficients of every replicate (terms x replicates)."""
+    def _refit_weights(self, rows: DataFrame, lay: people.Layout) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Weight-model coefficients of every replicate (terms x replicates), and which did not converge."""
         p = self.plan
         state = [
             kernel.Newton(
@@ -293,7 +300,7 @@ class TrialAnalysis:
             )
             for name, design, _, _ in lay.models
         ]
-        size = max(kernel.width(s.p) for s in state)
+        size = max((kernel.width(s.p) for s in state), default=0)
         while any(len(s.active) for s in state):
             jobs = [(i, s.active, s.coef[:, s.active]) for i, s in enumerate(state) if len(s.active)]
 
@@ -306,10 +313,13 @@ class TrialAnalysis:
             for i, active, _ in jobs:
                 state[i].update(got[at : at + len(active), : kernel.width(state[i].p)])
                 at += len(active)
-        return {name: np.where(s.keep, s.coef, 0.0) for (name, _, _, _), s in zip(lay.models, state)}
+        failed = ~np.all([s.converged for s in state], axis=0) if state else np.zeros(lay.replicates, dtype=bool)
+        return {name: np.where(s.keep, s.coef, 0.0) for (name, _, _, _), s in zip(lay.models, state)}, failed
 
     def _step_weights(self, rows: DataFrame, lay: people.Layout) -> dict[str, np.ndarray]:
         """One-step weight-model coefficients: full fit plus covariance times score."""
+        if not lay.models:
+            return {}
         fits = [self.weight_fits[name] for name, _, _, _ in lay.models]
         full = [f.filled for f in fits]
         sizes = [len(b) for b in full]
@@ -325,7 +335,7 @@ class TrialAnalysis:
         return out
 
     def _refit_outcome(self, rows, lay, coefs) -> tuple[np.ndarray, np.ndarray]:
-        """Outcome coefficients of every replicate, and which replicates lost a term."""
+        """Outcome coefficients of every replicate, and which lost a term or did not converge."""
         p = self.plan
         s = kernel.Newton(
             len(lay.outcome),
@@ -344,7 +354,8 @@ class TrialAnalysis:
                 return people.outcome_sums(group, lay, coefs, active, b)
 
             s.update(self._total(rows, lay, len(active), kernel.width(s.p), sums))
-        failed = np.array([int(bool(s.dropped(r))) for r in range(lay.replicates)])
+        lost = np.array([bool(s.dropped(r)) for r in range(lay.replicates)])
+        failed = lost | ~s.converged | ~s.keep.any(axis=0)
         return np.where(s.keep, s.coef, 0.0), failed
 
     def _step_outcome(self, rows, lay, coefs) -> np.ndarray:
@@ -370,7 +381,8 @@ class TrialAnalysis:
         for r, row in enumerate(means):
             for j in range(k):
                 t, c = float(row[j]), float(row[k + j])
-                if not np.isfinite(t):
+                if not np.isfinite([t, c]).all():
+                    out.append((method, first + r, 1, j, None, None, None, None, None))
                     continue
                 ratio = t / c if c else None
                 out.append((method, first + r, int(failed[r]), j, t, c, t - c, ratio, c - t))
@@ -415,17 +427,20 @@ class TrialAnalysis:
         coefs = _Sink(self.spark, COEF_SCHEMA, "coefficients", blocks)
         moments = {}
         for rows, lay in prepared:
-            none = np.zeros(lay.replicates, dtype=int)
-            refit = self._refit_weights(rows, lay) if {"bootstrap", "lef_outcome"} & set(methods) else None
+            refit, unfit = None, np.zeros(lay.replicates, dtype=bool)
+            if {"bootstrap", "lef_outcome"} & set(methods):
+                refit, unfit = self._refit_weights(rows, lay)
             for method in methods:
                 if method == "bootstrap":
                     b, failed = self._refit_outcome(rows, lay, refit)
+                    failed = failed | unfit
                 elif method == "lef_outcome":
-                    b, failed = self._step_outcome(rows, lay, refit), none
+                    b, failed = self._step_outcome(rows, lay, refit), unfit
                 elif method == "lef_both":
-                    b, failed = self._step_outcome(rows, lay, self._step_weights(rows, lay)), none
+                    b, failed = self._step_outcome(rows, lay, self._step_weights(rows, lay)), np.zeros(lay.replicates, dtype=bool)
                 else:
                     raise ValueError(f"unknown method {method!r}")
+                failed = failed | ~np.isfinite(b).all(axis=0)
                 name = label or method
                 moments.setdefault(name, Moments(self.fit.filled)).add(b, failed)
                 curves.add(self._curve_rows(name, lay.first, failed, self._curves(rows, lay, b)))

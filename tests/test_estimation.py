@@ -359,3 +359,42 @@ def test_normal_draws_have_the_given_moments():
 def test_cell_design_enumerates_combinations():
     assert cell_terms(("a", (0, 1)), ("b", range(3))).names[0] == "a=0:b=0"
     assert len(cell_terms(("a", (0, 1)), ("b", range(3)))) == 6
+
+
+def _small_panel(spark, rows):
+    return spark.createDataFrame(rows, "id long, t int, A int, Ap int, X2 double, Y int, eligible int")
+
+
+def test_replicates_without_events_in_an_arm(spark):
+    """All treated may have events, no untreated has: replicates keep the treatment term."""
+    rows = [(i, 0, i % 2, 0, float(i % 5), int(i % 6 == 1), 1) for i in range(60)]
+    plan = Plan(PanelSpec(visits=1), W.WeightDesigns(None), Design.of("assigned_treatment"), ())
+    with TrialAnalysis(_small_panel(spark, rows), plan) as a:
+        assert a.fit.coef[1] > 10
+        got = a.bootstrap(20, 1, ("bootstrap",))
+        terms = got.coefficients.filter("term = 'assigned_treatment'").collect()
+        assert len(terms) == 20 and all(r.estimate > 10 for r in terms)
+        assert all(r.mrd > 0 for r in got.curves.collect() if not r.failed)
+
+
+def test_missing_weight_keeps_the_trials(spark):
+    """A = 1, 0, 1 with a missing covariate at the switch: the trial still ends there."""
+    rows = [(1, 0, 1, 0, 0.5, 0, 1), (1, 1, 0, 1, None, 0, 0), (1, 2, 1, 0, 0.5, 0, 0)]
+    rows += [(i, t, (i + t) % 2, (i + t + 1) % 2 if t else 0, float(i % 3), int((i * 7 + t) % 5 == 0), int(t == 0)) for i in range(2, 40) for t in range(3)]
+    plan = Plan(PanelSpec(visits=3), W.WeightDesigns(Design.of("X2")), Design.of("assigned_treatment"), ())
+    with TrialAnalysis(_small_panel(spark, rows), plan) as a:
+        assert [r.followup_time for r in a.expanded.filter("id = 1").collect()] == [0]
+
+
+def test_intention_to_treat_is_not_weighted(spark):
+    rows = [(i, t, (i + t) % 2, (i + t + 1) % 2 if t else 0, float(i % 3), int((i * 7 + t) % 5 == 0), int(t == 0)) for i in range(40) for t in range(3)]
+    plan = Plan(PanelSpec(visits=3), W.WeightDesigns(Design.of("X2")), Design.of("assigned_treatment"), (), estimand="ITT")
+    with TrialAnalysis(_small_panel(spark, rows), plan) as a:
+        assert a.expanded.filter("weight <> 1").count() == 0 and a.expanded.count() == 120
+        curves = a.bootstrap(3, 1).curves
+        assert curves.filter("mrd IS NULL").count() == 0 and curves.count() == 3 * 3 * 3
+
+
+def test_missing_level_is_missing():
+    x = Level("g", 1.0).numpy({"g": np.array([1.0, 0.0, np.nan])})
+    assert x[0] == 1 and x[1] == 0 and np.isnan(x[2])
