@@ -7,6 +7,7 @@ from emulant.llm import (  # noqa: F401
     queries_lines,
     queries_output,
     queries_pairs,
+    queries_runs,
     queries_safety,
 )
 from emulant.llm.registry import ORACLES, QUERIES
