@@ -88,6 +88,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether fingerprints are linked. (Bits of signed numbers would be counted after their sign is lost.)"""
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= APART
+
+
 def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the fingerprints within ``APART`` bits of each other."""
     left, us, vs, todo = fps, [], [], []
@@ -95,8 +100,8 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not todo:
             todo, left = [left[0]], left[1:]
         here = todo.pop()
-        near = np.bitwise_count(left ^ here) <= APART
-        met, left = left[near], left[~near]
+        linked = near(left, here)
+        met, left = left[linked], left[~linked]
         us.append(np.full(len(met), here))
         vs.append(met)
         todo.extend(met)
@@ -112,9 +117,9 @@ def _small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
         step = max(PAIRS // len(i), 1)
         for k in range(0, len(at), step):
             members = fps[at[k : k + step, None] + np.arange(m)]
-            near = np.bitwise_count(members[:, i] ^ members[:, j]) <= APART
-            many = near.sum(axis=1) >= m
-            b, pair = np.nonzero(near & ~many[:, None])
+            linked = near(members[:, i], members[:, j])
+            many = linked.sum(axis=1) >= m
+            b, pair = np.nonzero(linked & ~many[:, None])
             us.append(members[b, i[pair]])
             vs.append(members[b, j[pair]])
             for bucket in members[many]:
