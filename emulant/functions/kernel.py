@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from emulant.functions import counter
+
 ROWS_PER_CHUNK = 2048
 TAIL = 4  # deviance, sum of weights, weighted responses, rows used
 
@@ -103,12 +105,35 @@ def positive_definite(matrix: np.ndarray) -> bool:
     return bool(np.isfinite(matrix).all() and (np.linalg.eigvalsh((matrix + matrix.T) / 2) > 0).all())
 
 
+def cholesky(cov: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """Lower factor of a covariance that may be singular: a pivot of next to 0 gives a column of zeros."""
+    p = len(cov)
+    out = np.zeros((p, p))
+    for j in range(p):
+        rest = cov[j:, j] - out[j:] @ out[j]
+        if rest[0] > tol * cov[j, j]:
+            out[j:, j] = rest / np.sqrt(rest[0])
+    return out
+
+
 def normal_draws(mean: np.ndarray, cov: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """``size`` draws of a normal vector; ``cov`` may be singular."""
-    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-    root = vectors * np.sqrt(np.clip(values, 0.0, None))
-    z = np.random.default_rng(seed).standard_normal((size, len(mean)))
-    return mean + z @ root.T
+    """``size`` draws of a normal vector; ``cov`` may be singular.
+
+    Draw ``d`` depends on seed, ``d`` and the covariance alone, so it can be had again in any engine.
+    """
+    return mean + counter.normal(seed, np.arange(size), len(mean)) @ cholesky(cov).T
+
+
+def separated(gram: np.ndarray, first: np.ndarray, step: np.ndarray, coef: np.ndarray) -> bool:
+    """Whether a fit that has settled still runs away along ``step``.
+
+    Where an outcome is certain, a coefficient grows by about one unit of the linear predictor with every
+    step while the deviance no longer falls; at a finite maximum the last step is next to nothing.
+    ``first`` is the information at 0, which gives the size of the terms.
+    """
+    size = np.sqrt(np.maximum(np.diag(first), 0.0) / max(float(np.diag(first).max(initial=0.0)), 1e-300))
+    far = (np.abs(step) > 0.02 * np.abs(coef)) & (np.abs(step) * size > 1e-4)
+    return bool(far.any())
 
 
 @dataclass
@@ -121,6 +146,10 @@ class Newton:
     to the final coefficients. With ``last_step`` a fit already stops once the next
     step promises no larger change, and takes that step: one pass less where the
     matrix is not needed.
+
+    Each fit counts its own passes, from where it began anew, and ends in one of the
+    states of ``converged``, ``separated`` (converged in the deviance, with a coefficient that still
+    grows) and ``finite``.
     """
 
     p: int
@@ -138,15 +167,19 @@ class Newton:
     def __post_init__(self):
         self.coef = np.zeros((self.p, self.r))
         if self.start is not None:
-            self.coef += self.start[:, None]
+            self.coef += self.start.reshape(self.p, -1)
         self.prev = self.coef.copy()
         self.keep = np.ones((self.p, self.r), dtype=bool)
         self.done = np.zeros(self.r, dtype=bool)
         self.converged = np.zeros(self.r, dtype=bool)
+        self.separated = np.zeros(self.r, dtype=bool)
+        self.finite = np.ones(self.r, dtype=bool)
         self.tested = np.zeros(self.r, dtype=bool)
         self.deviance = np.full(self.r, np.nan)
         self.gram = np.zeros((self.r, self.p, self.p))
+        self.first = np.zeros((self.r, self.p, self.p))
         self.tail = np.zeros((self.r, TAIL))
+        self.fit_passes = np.zeros(self.r, dtype=int)
         self.passes = 0
 
     @property
@@ -157,48 +190,69 @@ class Newton:
         """Take the sums of the active fits at their coefficients and step on."""
         self.passes += 1
         for row, r in zip(sums, self.active):
-            gram, score, tail = unpack(row, self.p)
-            dev, old = tail[0], self.deviance[r]
-            if not np.isfinite(row).all():
-                self.done[r] = True
-                continue
-            self.gram[r], self.tail[r] = gram, tail
-            if not self.tested[r]:
-                keep = independent_terms(gram)
-                if not keep.all() and self.coef[:, r].any():
-                    # Where the start predicts next to 0 or 1, a term only looks aliased;
-                    # at 0 all rows weigh alike, so the test is made there.
-                    self.coef[:, r] = self.prev[:, r] = 0.0
-                    continue
-                self.keep[:, r], self.tested[r] = keep, True
-                if not keep.any():
-                    # No row has weight: there is nothing to fit.
-                    self.done[r] = self.converged[r] = True
-                    continue
-            elif not np.isfinite(old):
-                pass
-            elif abs(dev - old) <= self.tol * (abs(dev) + 0.1):
-                self.deviance[r], self.done[r], self.converged[r] = dev, True, True
-                continue
-            elif dev > old + 1e-7 * (abs(old) + 0.1):
-                self.coef[:, r] = (self.coef[:, r] + self.prev[:, r]) / 2.0
-                continue
-            self.deviance[r] = dev
-            if self.passes >= self.max_iter:
-                self.done[r] = True
-                continue
-            idx = np.flatnonzero(self.keep[:, r])
-            try:
-                step = np.linalg.solve(gram[np.ix_(idx, idx)], score[idx])
-            except np.linalg.LinAlgError:
+            self._update_one(r, row)
+            if self.fit_passes[r] >= 2 * self.max_iter:
                 self.done[r] = True
-                continue
-            self.prev[:, r] = self.coef[:, r]
-            self.coef[idx, r] += step
-            if self.last_step and abs(score[idx] @ step) <= self.tol * (abs(dev) + 0.1):
+
+    def _begin_anew(self, r: int) -> None:
+        self.coef[:, r] = self.prev[:, r] = 0.0
+        self.fit_passes[r], self.tested[r], self.deviance[r] = 0, False, np.nan
+
+    def _step(self, r: int, gram: np.ndarray, score: np.ndarray) -> np.ndarray | None:
+        step = np.zeros(self.p)
+        idx = np.flatnonzero(self.keep[:, r])
+        try:
+            step[idx] = np.linalg.solve(gram[np.ix_(idx, idx)], score[idx])
+        except np.linalg.LinAlgError:
+            return None
+        return step if np.isfinite(step).all() else None
+
+    def _settle(self, r: int, step: np.ndarray | None) -> None:
+        self.done[r] = self.converged[r] = True
+        # Without a step the matrix is singular at the end though it was not at 0.
+        self.separated[r] = step is None or separated(self.gram[r], self.first[r], step, self.coef[:, r])
+
+    def _update_one(self, r: int, row: np.ndarray) -> None:
+        gram, score, tail = unpack(row, self.p)
+        dev, old = tail[0], self.deviance[r]
+        if not np.isfinite(row).all():
+            self.done[r], self.finite[r] = True, False
+            return
+        self.fit_passes[r] += 1
+        self.gram[r], self.tail[r] = gram, tail
+        if not self.tested[r]:
+            keep = independent_terms(gram)
+            if not keep.all() and self.coef[:, r].any():
+                # Where the start predicts next to 0 or 1, a term only looks aliased;
+                # at 0 all rows weigh alike, so the test is made there.
+                self._begin_anew(r)
+                return
+            self.keep[:, r], self.tested[r], self.first[r] = keep, True, gram
+            if not keep.any():
+                # No row has weight: there is nothing to fit.
                 self.done[r] = self.converged[r] = True
-        if self.passes >= 2 * self.max_iter:
-            self.done[:] = True
+                return
+        elif not np.isfinite(old):
+            pass
+        elif abs(dev - old) <= self.tol * (abs(dev) + 0.1):
+            self.deviance[r] = dev
+            self._settle(r, self._step(r, gram, score))
+            return
+        elif dev > old + 1e-7 * (abs(old) + 0.1):
+            if self.start is not None and self.fit_passes[r] == 2 and self.prev[:, r].any():
+                self._begin_anew(r)  # the first step from a given start leads away
+                return
+            self.coef[:, r] = (self.coef[:, r] + self.prev[:, r]) / 2.0
+            return
+        self.deviance[r] = dev
+        step = self._step(r, gram, score)
+        if step is None or self.fit_passes[r] >= self.max_iter:
+            self.done[r] = True
+            return
+        self.prev[:, r] = self.coef[:, r]
+        self.coef[:, r] += step
+        if self.last_step and abs(score @ step) <= self.tol * (abs(dev) + 0.1):
+            self._settle(r, step)
 
     def dropped(self, r: int) -> list[str]:
         """Aliased terms that are removed: the run of ``drop_order`` found aliased."""

@@ -66,6 +66,13 @@ def failed_replicates(reps: DataFrame, by: Sequence[str] = ("method",)) -> DataF
     )
 
 
+def replicate_status(reps: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+    """Number of replicates, and of those that lost a term (failed), are separated, have not converged or are no number."""
+    kinds = ("failed", "separated", "not_converged", "not_finite")
+    per_rep = reps.groupBy(*by, "rep").agg(*[F.max(k).alias(k) for k in kinds])
+    return per_rep.groupBy(*by).agg(F.count(F.lit(1)).alias("replicates"), *[F.sum(k).cast("bigint").alias(k) for k in kinds])
+
+
 def jackknife_wald_ci(
     reps: DataFrame,
     estimates: DataFrame,

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from emulant.functions.tree import Tree, drawn
 
 BUCKETS = 4096
-DRAWS_PER_TASK = 4_000_000
 
 
 def hash_number(text: Column, digits: int = 15) -> Column:
@@ -32,32 +38,49 @@ def person_index(ids: DataFrame, id: str = "id") -> DataFrame:
     )
 
 
-def draws(spark: SparkSession, n: int, first: int, last: int, seed: int) -> DataFrame:
-    """``n`` draws of an index 0..n-1 for each replicate first..last-1.
-
-    Draw ``d`` of replicate ``r`` is the MD5 sum of "seed|r|d" modulo n, so any part
-    can be recomputed anywhere.
-    """
-    tasks = max(spark.sparkContext.defaultParallelism, (last - first) * n // DRAWS_PER_TASK)
-    rows = spark.range(first * n, last * n, 1, tasks)
-    rep = F.floor(F.col("id") / n).cast("int")
-    rows = rows.select(rep.alias("rep"), F.pmod(F.col("id"), F.lit(n)).alias("draw"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string"))
-    return rows.select("rep", (hash_number(text) % n).alias("idx"))
-
-
 def bootstrap_counts(ids: DataFrame, replicates: int, seed: int, id: str = "id") -> DataFrame:
     """How often each person is drawn in each replicate: ``(rep, id, n)``.
 
     Persons not drawn have no row. Counts of a replicate add up to the number of
-    persons.
+    persons. Draws arise in the task that holds the person, by a splitting tree over the
+    persons' numbers; none is shuffled.
     """
     index = person_index(ids, id)
     n = index.count()
-    counts = draws(ids.sparkSession, n, 0, replicates, seed).groupBy("idx", "rep").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counts.join(index, "idx").select("rep", id, "n")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits = Tree(n, 0, replicates, seed)
+        for batch in batches:
+            idx = batch.column("idx").to_numpy()
+            order = np.argsort(idx, kind="stable")
+            for a, _, place, rep in drawn(idx[order], splits):
+                cells, count = np.unique(place * replicates + rep, return_counts=True)
+                rows = batch.column(id).take(pa.array(order[a + cells // replicates]))
+                yield pa.RecordBatch.from_arrays([pa.array((cells % replicates).astype(np.int32)), rows, pa.array(count)], ["rep", id, "n"])
+
+    kind = index.schema[id].dataType.simpleString()
+    return index.mapInArrow(counted, f"rep int, `{id}` {kind}, n bigint")
+
+
+def with_draws(persons: DataFrame, n: int, first: int, last: int, seed: int) -> DataFrame:
+    """``persons``, numbered 0..n-1 by ``idx``, with ``drawn``: the replicates first..last-1 that drew the person, once per draw."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits = Tree(n, first, last, seed)
+        for batch in batches:
+            idx = batch.column("idx").to_numpy()
+            order = np.argsort(idx, kind="stable")
+            owner, reps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, _, place, rep in drawn(idx[order], splits):
+                owner.append(order[a + place])
+                reps.append(rep)
+            owner, reps = np.concatenate(owner), np.concatenate(reps)
+            by_person = np.argsort(owner, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(idx)))))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(reps[by_person].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "drawn"])
+
+    return persons.mapInArrow(add, T.StructType([*persons.schema.fields, T.StructField("drawn", T.ArrayType(T.IntegerType()))]))
 
 
 def attach_counts(df: DataFrame, counts: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,11 @@ from emulant.operators.weights import WeightDesigns
 from emulant.session import keep, new_table_path, written
 from emulant.spec import PanelSpec
 
+#: What became of a replicate: a term of ``drop_order`` lost that the full fit kept, a coefficient
+#: that grows without end, a fit that ran out of passes, a result that is no number.
+STATUS = ("failed", "separated", "not_converged", "not_finite")
 REPLICATE_SCHEMA = (
-    "method string, rep int, failed int, followup_time int, survival_treatment double,"
+    f"method string, rep int, {', '.join(f'{c} int' for c in STATUS)}, followup_time int, survival_treatment double,"
     " survival_control double, survival_difference double, survival_ratio double, mrd double"
 )
 COEF_SCHEMA = "method string, rep int, term string, estimate double"
@@ -56,6 +60,32 @@ class Plan:
         return replace(self.weights, switch_d=None) if self.estimand == "ITT" else self.weights
 
 
+@dataclass
+class Status:
+    """What became of each replicate of a block."""
+
+    failed: np.ndarray
+    separated: np.ndarray
+    not_converged: np.ndarray
+    not_finite: np.ndarray
+
+    @staticmethod
+    def good(r: int) -> Status:
+        return Status(*(np.zeros(r, dtype=bool) for _ in STATUS))
+
+    @staticmethod
+    def of(s: kernel.Newton) -> Status:
+        lost = np.array([bool(s.dropped(k)) for k in range(s.r)], dtype=bool)
+        nothing = ~s.keep.any(axis=0)
+        return Status(lost, s.separated.copy(), ~s.converged & s.finite, ~s.finite | nothing)
+
+    def __or__(self, other: Status) -> Status:
+        return Status(*(getattr(self, c) | getattr(other, c) for c in STATUS))
+
+    def row(self, r: int) -> tuple[int, ...]:
+        return tuple(int(getattr(self, c)[r]) for c in STATUS)
+
+
 @dataclass
 class Replicates:
     """Curves (and coefficients) of the replicates of one or more methods."""
@@ -236,9 +266,10 @@ class TrialAnalysis:
         index = self._hold(resample.person_index(self.expanded, "id"), "index")
         count = index.count()
         tasks = max(min(self.spark.sparkContext.defaultParallelism, -(-count // 250)), -(-count // PERSONS_PER_TASK), 1)
-        self.tasks = tasks
         numbered = both.join(index, "id").select("idx", "visits", "rows")
-        return self._hold(numbered.repartition(tasks, "idx"), "persons")
+        # Neighbours in number share a task, so that a task walks down one part of the tree of draws.
+        part = (F.col("idx") * tasks / max(count, 1)).cast("int")
+        return self._hold(numbered.repartitionById(tasks, part).sortWithinPartitions("idx"), "persons")
 
     @cached_property
     def _codes(self) -> dict[str, list]:
@@ -267,17 +298,10 @@ class TrialAnalysis:
     def _with_draws(self, first: int, last: int, seed: int) -> DataFrame:
         """Person rows with the replicates of the block that drew the person.
 
-        A person is drawn about once per replicate, so its list is about as long as
-        the block.
+        The draws arise in the task that holds the person. A person is drawn about once per
+        replicate, so its list is about as long as the block.
         """
-        persons, n = self.persons, self.person_count
-        counts = (
-            resample.draws(self.spark, n, first, last, seed)
-            .repartition(self.tasks, "idx")
-            .groupBy("idx")
-            .agg(F.collect_list("rep").alias("drawn"))
-        )
-        return persons.join(counts, "idx", "left")
+        return resample.with_draws(self.persons, self.person_count, first, last, seed)
 
     # ---- passes ---------------------------------------------------------
 
@@ -291,8 +315,8 @@ class TrialAnalysis:
 
         return add_partitions(rows, keys, size, partial)
 
-    def _refit_weights(self, rows: DataFrame, lay: people.Layout) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Weight-model coefficients of every replicate (terms x replicates), and which did not converge."""
+    def _refit_weights(self, rows: DataFrame, lay: people.Layout) -> tuple[dict[str, np.ndarray], Status]:
+        """Weight-model coefficients of every replicate (terms x replicates), and what became of them."""
         p = self.plan
         state = [
             kernel.Newton(
@@ -313,8 +337,8 @@ class TrialAnalysis:
             for i, active, _ in jobs:
                 state[i].update(got[at : at + len(active), : kernel.width(state[i].p)])
                 at += len(active)
-        failed = ~np.all([s.converged for s in state], axis=0) if state else np.zeros(lay.replicates, dtype=bool)
-        return {name: np.where(s.keep, s.coef, 0.0) for (name, _, _, _), s in zip(lay.models, state)}, failed
+        status = reduce(or_, map(Status.of, state), Status.good(lay.replicates))
+        return {name: np.where(s.keep, s.coef, 0.0) for (name, _, _, _), s in zip(lay.models, state)}, status
 
     def _step_weights(self, rows: DataFrame, lay: people.Layout) -> dict[str, np.ndarray]:
         """One-step weight-model coefficients: full fit plus covariance times score."""
@@ -334,8 +358,8 @@ class TrialAnalysis:
             at += size
         return out
 
-    def _refit_outcome(self, rows, lay, coefs) -> tuple[np.ndarray, np.ndarray]:
-        """Outcome coefficients of every replicate, and which lost a term or did not converge."""
+    def _refit_outcome(self, rows, lay, coefs) -> tuple[np.ndarray, Status]:
+        """Outcome coefficients of every replicate, and what became of them."""
         p = self.plan
         s = kernel.Newton(
             len(lay.outcome),
@@ -354,9 +378,7 @@ class TrialAnalysis:
                 return people.outcome_sums(group, lay, coefs, active, b)
 
             s.update(self._total(rows, lay, len(active), kernel.width(s.p), sums))
-        lost = np.array([bool(s.dropped(r)) for r in range(lay.replicates)])
-        failed = lost | ~s.converged | ~s.keep.any(axis=0)
-        return np.where(s.keep, s.coef, 0.0), failed
+        return np.where(s.keep, s.coef, 0.0), Status.of(s)
 
     def _step_outcome(self, rows, lay, coefs) -> np.ndarray:
         full = self.fit.filled
@@ -375,17 +397,19 @@ class TrialAnalysis:
         with np.errstate(divide="ignore", invalid="ignore"):
             return got[:, : 2 * k] / np.concatenate([rows_, rows_], axis=1)
 
-    def _curve_rows(self, method: str, first: int, failed: np.ndarray, means: np.ndarray) -> list:
+    def _curve_rows(self, method: str, first: int, status: Status, means: np.ndarray) -> list:
         k = self.plan.spec.visits
+        status.not_finite = status.not_finite | ~np.isfinite(means).all(axis=1)
         out = []
         for r, row in enumerate(means):
+            head = (method, first + r, *status.row(r))
             for j in range(k):
                 t, c = float(row[j]), float(row[k + j])
                 if not np.isfinite([t, c]).all():
-                    out.append((method, first + r, 1, j, None, None, None, None, None))
+                    out.append((*head, j, None, None, None, None, None))
                     continue
                 ratio = t / c if c else None
-                out.append((method, first + r, int(failed[r]), j, t, c, t - c, ratio, c - t))
+                out.append((*head, j, t, c, t - c, ratio, c - t))
         return out
 
     def _coef_rows(self, method: str, first: int, b: np.ndarray) -> list:
@@ -427,23 +451,24 @@ class TrialAnalysis:
         coefs = _Sink(self.spark, COEF_SCHEMA, "coefficients", blocks)
         moments = {}
         for rows, lay in prepared:
-            refit, unfit = None, np.zeros(lay.replicates, dtype=bool)
+            refit, unfit = None, Status.good(lay.replicates)
             if {"bootstrap", "lef_outcome"} & set(methods):
                 refit, unfit = self._refit_weights(rows, lay)
             for method in methods:
                 if method == "bootstrap":
-                    b, failed = self._refit_outcome(rows, lay, refit)
-                    failed = failed | unfit
+                    b, status = self._refit_outcome(rows, lay, refit)
+                    # A term can be lost by the outcome model only; a weight model predicts without it.
+                    status |= replace(unfit, failed=status.failed)
                 elif method == "lef_outcome":
-                    b, failed = self._step_outcome(rows, lay, refit), unfit
+                    b, status = self._step_outcome(rows, lay, refit), replace(unfit)
                 elif method == "lef_both":
-                    b, failed = self._step_outcome(rows, lay, self._step_weights(rows, lay)), np.zeros(lay.replicates, dtype=bool)
+                    b, status = self._step_outcome(rows, lay, self._step_weights(rows, lay)), Status.good(lay.replicates)
                 else:
                     raise ValueError(f"unknown method {method!r}")
-                failed = failed | ~np.isfinite(b).all(axis=0)
+                status.not_finite = status.not_finite | ~np.isfinite(b).all(axis=0)
                 name = label or method
-                moments.setdefault(name, Moments(self.fit.filled)).add(b, failed)
-                curves.add(self._curve_rows(name, lay.first, failed, self._curves(rows, lay, b)))
+                moments.setdefault(name, Moments(self.fit.filled)).add(b, status.failed)
+                curves.add(self._curve_rows(name, lay.first, status, self._curves(rows, lay, b)))
                 coefs.add(self._coef_rows(name, lay.first, b))
         return Replicates(curves.table(), coefs.table(), moments)
 
@@ -459,6 +484,6 @@ class TrialAnalysis:
         for lo, hi in blocks:
             lay = self._layout(hi - lo, lo, "ones")
             means = self._curves(self.persons, lay, b[lo:hi].T)
-            sink.add(self._curve_rows(method, lo, np.zeros(hi - lo, dtype=int), means))
+            sink.add(self._curve_rows(method, lo, Status.good(hi - lo), means))
         return sink.table()
 

@@ -21,7 +21,7 @@ from emulant.operators import scenarios as X
 from emulant.operators import trials as E
 from emulant.operators import weights as W
 from emulant.plans import sql as Q
-from emulant.plans.analysis import Plan, TrialAnalysis
+from emulant.plans.analysis import STATUS, Plan, TrialAnalysis
 from emulant.plans.queries_panel import COVARIATES, SPEC, VISITS, censored_panel, panel, trial_rows
 from emulant.plans.registry import query, rounded
 from emulant.session import new_table_path
@@ -639,19 +639,19 @@ def _replicates(spark, folder, method):
 def bootstrap_replicates(spark, folder):
     """Curves of every direct bootstrap replicate."""
     _, reps = _replicates(spark, folder, "bootstrap")
-    return rounded(reps.drop("method", "failed"))
+    return rounded(reps.drop("method", *STATUS))
 
 
 @query("one_step_outcome_replicates", f"{_LEF_OUTCOME} SELECT rep, {_CURVE_COLUMNS} FROM reps")
 def one_step_outcome_replicates(spark, folder):
     _, reps = _replicates(spark, folder, "lef_outcome")
-    return rounded(reps.drop("method", "failed"))
+    return rounded(reps.drop("method", *STATUS))
 
 
 @query("one_step_both_replicates", f"{_LEF_BOTH} SELECT rep, {_CURVE_COLUMNS} FROM reps")
 def one_step_both_replicates(spark, folder):
     _, reps = _replicates(spark, folder, "lef_both")
-    return rounded(reps.drop("method", "failed"))
+    return rounded(reps.drop("method", *STATUS))
 
 
 @query("bootstrap_percentile_limits", f"{_DIRECT} SELECT {_LIMITS} FROM reps GROUP BY 1")

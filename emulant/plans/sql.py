@@ -1,5 +1,8 @@
 """SQL fragments shared by the checks, as WITH-clauses to be joined."""
 
+from emulant.functions.counter import uniform_sql
+from emulant.functions.tree import LEAF
+
 HISTORY = """
 g AS (SELECT c_custkey AS id, c_acctbal, c_mktsegment, t::INTEGER AS t FROM customer, range(0, 6) r(t)),
 o AS (SELECT o_custkey AS id, (year(o_orderdate) - 1995)::INTEGER AS t,
@@ -56,16 +59,32 @@ curve AS (SELECT a.followup_time, a.s AS survival_treatment, b.s AS survival_con
   FROM surv a JOIN surv b USING (followup_time) WHERE a.assigned_treatment = 1 AND b.assigned_treatment = 0)"""
 
 
+TREE_LEVELS = 6  # levels of the splitting tree that the SQL can walk: up to 256 * 2**6 persons
+
+
 def draws(replicates: int, seed: int, source: str = "pp") -> str:
-    """Person numbers, draws and counts (zeros included)."""
-    return f""",
+    """Person numbers, draws by the splitting tree, and counts (zeros included)."""
+    out = f""",
 ids AS (SELECT DISTINCT id FROM {source}),
 ix AS (SELECT id, row_number() OVER (ORDER BY ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % 4096, id) - 1 AS idx
   FROM ids),
-total AS (SELECT count(*) AS n FROM ids),
-dk AS (SELECT n, unnest(range(n)) AS draw FROM total),
-dr AS (SELECT rep::INTEGER AS rep, ('0x' || substr(md5('{seed}|' || rep || '|' || draw), 1, 15))::BIGINT % n AS idx
-  FROM dk, range(0, {replicates}) r(rep)),
+total AS (SELECT count(*) AS n, greatest(0, ceil(log2(greatest(count(*), 1) / {LEAF})))::INTEGER AS levels FROM ids),
+nd0 AS (SELECT r.rep::INTEGER AS rep, 0::BIGINT AS j, n AS m, n, levels FROM total, range(0, {replicates}) r(rep))"""
+    for k in range(TREE_LEVELS):
+        u = uniform_sql(seed, ["rep", f"{1 << k} + j", "0"])
+        out += f""",
+sp{k} AS (SELECT rep, j, m, n, levels, (n * (2 * j + 1) // {2 << k} - n * j // {1 << k}) / (n * (j + 1) // {1 << k} - n * j // {1 << k}) AS p,
+    {u} AS u FROM nd{k} WHERE levels > {k}),
+cd{k} AS (SELECT rep, j, u, m, n, levels, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)))
+    OVER (PARTITION BY rep, j ORDER BY k) AS reached FROM (SELECT *, unnest(range(m + 1)) AS k FROM sp{k})),
+lf{k} AS (SELECT rep, j, any_value(m) AS m, any_value(n) AS n, any_value(levels) AS levels,
+    least(count(*) FILTER (reached < u), any_value(m)) AS l FROM cd{k} GROUP BY 1, 2),
+nd{k + 1} AS (SELECT rep, 2 * j AS j, l AS m, n, levels FROM lf{k} UNION ALL SELECT rep, 2 * j + 1, m - l, n, levels FROM lf{k}
+  UNION ALL SELECT * FROM nd{k} WHERE levels <= {k})"""
+    u = uniform_sql(seed, ["rep", "(1 << levels) + j", "1 + d"])
+    return out + f""",
+dr AS (SELECT rep, lo + least(floor({u} * (hi - lo))::BIGINT, hi - lo - 1) AS idx
+  FROM (SELECT rep, j, levels, n * j // (1 << levels) AS lo, n * (j + 1) // (1 << levels) AS hi, unnest(range(m)) AS d FROM nd{TREE_LEVELS})),
 drawn AS (SELECT rep, id, count(*) AS n FROM dr JOIN ix USING (idx) GROUP BY 1, 2),
 counts AS (SELECT r.rep::INTEGER AS rep, i.id, coalesce(d.n, 0) AS n FROM ids i CROSS JOIN range(0, {replicates}) r(rep)
   LEFT JOIN drawn d ON d.rep = r.rep AND d.id = i.id)"""
