@@ -46,6 +46,7 @@ EVENT_PLAN = Plan(
     ("X2",),
 )
 REPLICATES, SEED = 20, 11
+DRAWS = 500
 
 _WEIGHTED = f"WITH {Q.PANEL} {Q.WEIGHTED}"
 _CURVE = f"{_WEIGHTED} {Q.CELLS}"
@@ -58,6 +59,7 @@ _JACKKNIFE = (
     f"WITH {Q.EVENT_PANEL} {Q.WEIGHTED} {Q.CELLS} {Q.leave_one_out()} {Q.REFIT_WEIGHTS} {Q.REPLICATE_ROWS}"
     f" {Q.REFIT_CELLS} {Q.REPLICATE_CURVES}"
 )
+_REGRESSION = f"WITH {Q.PANEL} {Q.weighted_by(Design.of('X2', 'X4'))} {Q.outcome_by(REGRESSION.outcome)}"
 _LIMITS = "followup_time, round(quantile_cont(mrd, 0.025), 6) AS lb, round(quantile_cont(mrd, 0.975), 6) AS ub"
 
 
@@ -296,12 +298,33 @@ def single_trial_rows(spark, folder):
     return rounded(out.select("id", "t", "Y", "CA", "X2", "weight"))
 
 
-@query("single_trial_model")
+_SINGLE = Design.of("CA", "X2", "X4", ("CA", "X2"))
+
+
+def _tidied(design: Design, source: str, digits: int, error: str, drop: tuple[str, ...] = ()) -> str:
+    """Terms with estimate and standard error; NULL where the fit left a term out, no row where it is one of ``drop``."""
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(design.names))
+    gone = "".join(f" AND NOT (term = '{d}' AND cov[t.i + 1][t.i + 1] = 0)" for d in drop)
+    kept = "CASE WHEN cov[t.i + 1][t.i + 1] > 0 THEN round({}, {}) END"
+    return (
+        f"term, {kept.format('b[t.i + 1]', digits)} AS estimate, {kept.format(error, digits)} AS std_error "
+        f"FROM {source}, (VALUES {names}) t(i, term) WHERE true{gone}"
+    )
+
+
+@query(
+    "single_trial_model",
+    f"""{_SCORED}, s AS (SELECT *, row_number() OVER p AS r, first_value(CAp) OVER p AS c0, first_value(X2) OVER p AS b2,
+      first_value(X4) OVER p AS b4, sum(A) OVER p AS "CA" FROM vw WINDOW p AS (PARTITION BY id ORDER BY t)),
+    k AS (SELECT Y, "CA"::DOUBLE AS "CA", b2 AS X2, b4 AS X4, product(CASE WHEN r = 1 THEN 1 ELSE wt END) OVER (PARTITION BY id ORDER BY t) AS weight
+      FROM s WHERE c0 = 0)
+    {Q.logit("st", f"SELECT 0 AS g, {Q.design_list(_SINGLE)} AS x, Y AS y, weight AS w FROM k", len(_SINGLE))}
+    SELECT 'single_trial' AS model, {_tidied(_SINGLE, "st", 6, "sqrt(cov[t.i + 1][t.i + 1])")}""",
+)
 def single_trial_model(spark, folder):
     """Weighted model of the traditional single-trial analysis."""
     rows = W.single_trial(panel(spark, folder), SPEC, given_fits(), ["X2", "X4"])
-    design = Design.of("CA", "X2", "X4", ("CA", "X2"))
-    return rounded(M.tidy(spark, {"single_trial": M.fit_logit(rows, design, "Y", "weight")}))
+    return rounded(M.tidy(spark, {"single_trial": M.fit_logit(rows, _SINGLE, "Y", "weight")}))
 
 
 # ---- regression ---------------------------------------------------------------
@@ -362,18 +385,28 @@ def aliased_terms(spark, folder):
     return rounded(M.tidy(spark, {"outcome": fit}).select("term", "estimate"), 5)
 
 
-@query("outcome_regression")
+@query(
+    "outcome_regression",
+    f"""{_REGRESSION} {Q.robust_by(REGRESSION.outcome)} SELECT 'outcome' AS model,
+    {_tidied(REGRESSION.outcome, "oc", 5, "sqrt((SELECT v FROM rv WHERE rv.i = t.i AND rv.j = t.i))", REGRESSION.drop_order)}""",
+)
 def outcome_regression(spark, folder):
     """Pooled logistic model with visit dummies and their interactions."""
-    a = TrialAnalysis(panel(spark, folder), REGRESSION)
-    return rounded(M.tidy(spark, {"outcome": a.fit}, {"outcome": a.robust}), 5)
+    with TrialAnalysis(panel(spark, folder), REGRESSION) as a:
+        return rounded(M.tidy(spark, {"outcome": a.fit}, {"outcome": a.robust}), 5)
+
 
+_LINEAR = linear_time_terms(["X2", "X4"])
 
-@query("outcome_regression_linear_time")
+
+@query(
+    "outcome_regression_linear_time",
+    f"""{_WEIGHTED} {Q.outcome_by(_LINEAR)} SELECT 'outcome' AS model, {_tidied(_LINEAR, "oc", 5, "sqrt(cov[t.i + 1][t.i + 1])")}""",
+)
 def outcome_regression_linear_time(spark, folder):
     """Pooled logistic model with linear and squared follow-up time."""
     rows = weighted_rows(spark, folder)
-    fit = M.fit_logit(rows, linear_time_terms(["X2", "X4"]), "outcome", "weight")
+    fit = M.fit_logit(rows, _LINEAR, "outcome", "weight")
     return rounded(M.tidy(spark, {"outcome": fit}), 5)
 
 
@@ -546,17 +579,23 @@ def risk_difference_curve(spark, folder):
     return rounded(TrialAnalysis(panel(spark, folder), SATURATED).curve())
 
 
-@query("risk_difference_regression")
+@query("risk_difference_regression", f"{_REGRESSION} {Q.curves_by(REGRESSION.outcome, VISITS)} SELECT {_CURVE_COLUMNS} FROM marks")
 def risk_difference_regression(spark, folder):
     """The same with regression designs that have no closed form."""
     return rounded(TrialAnalysis(panel(spark, folder), REGRESSION).curve())
 
 
-@query("risk_difference_censored")
+_BOTH = Design.of("X2", "X4")
+
+
+@query(
+    "risk_difference_censored",
+    f"""WITH {Q.CENSORED} {Q.weighted_by(_BOTH, _BOTH)} {Q.outcome_by(REGRESSION.outcome)} {Q.curves_by(REGRESSION.outcome, VISITS)}
+    SELECT {_CURVE_COLUMNS} FROM marks""",
+)
 def risk_difference_censored(spark, folder):
     """The same with drop-out weights."""
-    terms = Design.of("X2", "X4")
-    plan = Plan(_CENSOR_SPEC, W.WeightDesigns(terms, censor_d=terms), visit_terms(VISITS, ["X2", "X4"]), COVARIATES)
+    plan = Plan(_CENSOR_SPEC, W.WeightDesigns(_BOTH, censor_d=_BOTH), REGRESSION.outcome, COVARIATES)
     return rounded(TrialAnalysis(censored_panel(spark, folder), plan).curve())
 
 
@@ -809,11 +848,19 @@ def jackknife_normal_limits(spark, folder):
         return rounded(I.ci_jackknife_mvn(a, 100, SEED).drop("method"))
 
 
-@query("sandwich_limits")
+_P = len(REGRESSION.outcome)
+
+
+@query(
+    "sandwich_limits",
+    f"""{_REGRESSION} {Q.robust_by(REGRESSION.outcome)}
+    {Q.normal_by(_P, DRAWS, SEED, "SELECT i, j, v FROM rv", f"SELECT i, b[i + 1] AS m FROM oc, range({_P}) r(i)")}
+    {Q.curves_by(REGRESSION.outcome, VISITS, "SELECT rep, b FROM drawn_b")} SELECT {_LIMITS} FROM marks GROUP BY 1""",
+)
 def sandwich_limits(spark, folder):
     """Normal draws with the robust covariance, each standardised over all persons."""
     with TrialAnalysis(panel(spark, folder), REGRESSION) as a:
-        return rounded(I.ci_sandwich(a, 100, SEED).drop("method"))
+        return rounded(I.ci_sandwich(a, DRAWS, SEED).drop("method"))
 
 
 @query("all_bootstrap_limits_regression")

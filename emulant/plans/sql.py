@@ -1,6 +1,7 @@
 """SQL fragments shared by the checks, as WITH-clauses to be joined."""
 
-from emulant.functions.counter import uniform_sql
+from emulant.functions.counter import normal_sql, uniform_sql
+from emulant.functions.design import Design, Level
 from emulant.functions.tree import LEAF
 
 HISTORY = """
@@ -191,3 +192,117 @@ GRID = """,
 grid AS (SELECT (1 + 9 * i + 3 * j + k)::INTEGER AS scenario, ([200, 1000, 5000])[i + 1] AS size,
     ([0.1, 0.5, 0.9])[j + 1]::DOUBLE AS conf, ([-1, 0, 1])[k + 1] AS treat
   FROM range(0, 3) a(i), range(0, 3) b(j), range(0, 3) c(k))"""
+
+
+# ---- regression in SQL ----------------------------------------------------------------
+
+
+def design_list(design: Design) -> str:
+    """The terms of a design as a list of doubles."""
+
+    def factor(f) -> str:
+        if isinstance(f, Level):
+            value = f"'{f.value}'" if isinstance(f.value, str) else str(f.value)
+            return f"(CASE WHEN {f.column} = {value} THEN 1.0 ELSE 0.0 END)"
+        return "(" + " * ".join([f'"{f.column}"'] * f.exponent) + ")"
+
+    return "[" + ", ".join(" * ".join(["1.0", *map(factor, t.factors)]) for t in design.terms) + "]::DOUBLE[]"
+
+
+def eliminated(matrix: str, p: int, whole: bool = True, tol: float = 1e-7) -> str:
+    """A matrix (list of rows) after Gauss-Jordan elimination of its first ``p`` columns; with ``whole`` false
+    only below the diagonal. Columns whose pivot is next to 0 are left out: their row becomes zeros."""
+    k = "k[1][1]::BIGINT"
+    good = f"m[{k}][{k}] > {tol}"
+    below = f"list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}])"
+    own = f"CASE WHEN {good} THEN list_transform(r, lambda v: v / m[{k}][{k}]) ELSE list_transform(r, lambda v: 0.0::DOUBLE) END" if whole else "r"
+    steps = ", ".join(f"[[{i + 1}.0]]" for i in range(p))
+    return (
+        f"list_reduce(list_concat([{matrix}], [{steps}]::DOUBLE[][][]), lambda m, k: list_transform(m, lambda r, i: "
+        f"CASE WHEN i = {k} THEN {own} WHEN {good} AND {'true' if whole else f'i > {k}'} THEN {below} ELSE r END))"
+    )
+
+
+def logit(name: str, rows: str, p: int, passes: int = 12) -> str:
+    """Weighted logistic regressions by Newton's method: ``name`` has (g, b, cov) for each group of ``rows`` (g, x, y, w).
+
+    ``b`` is a list, 0 for aliased terms; ``cov`` the inverse information, a list of rows.
+    """
+    out = f""",
+{name}_r AS MATERIALIZED (SELECT g, x, y::DOUBLE AS y, w::DOUBLE AS w FROM ({rows}) WHERE w > 0),
+{name}_0 AS MATERIALIZED (SELECT g, list_transform(range({p}), lambda i: 0.0::DOUBLE) AS b FROM {name}_r GROUP BY 1)"""
+
+    def sums(k: int, tail: str) -> str:
+        return f""",
+{name}_e{k} AS (SELECT r.g, x, w, y, 1 / (1 + exp(-list_dot_product(x, b))) AS q FROM {name}_r r JOIN {name}_{k} USING (g)),
+{name}_s{k} AS (SELECT g, i, sum(w * (y - q) * x[i + 1]) AS s FROM {name}_e{k}, range({p}) t(i) GROUP BY 1, 2),
+{name}_i{k} AS (SELECT g, i, j, sum(w * q * (1 - q) * x[i + 1] * x[j + 1]) AS v FROM {name}_e{k}, range({p}) t(i), range({p}) u(j) GROUP BY 1, 2, 3),
+{name}_l{k} AS (SELECT g, i, list(v ORDER BY j) AS l FROM {name}_i{k} GROUP BY 1, 2),
+{name}_m{k} AS (SELECT l.g, list(list_concat(l.l, {tail}) ORDER BY l.i) AS m FROM {name}_l{k} l JOIN {name}_s{k} s ON l.g = s.g AND l.i = s.i GROUP BY 1),
+{name}_x{k} AS MATERIALIZED (SELECT g, {eliminated('m', p)} AS m FROM {name}_m{k})"""
+
+    for k in range(passes):
+        out += sums(k, "[s.s]") + f""",
+{name}_{k + 1} AS MATERIALIZED (SELECT g, list_transform(b, lambda v, i: v + m[i][{p + 1}]) AS b FROM {name}_{k} JOIN {name}_x{k} USING (g))"""
+    unit = f"list_transform(range({p}), lambda c: CASE WHEN c = l.i THEN 1.0 ELSE 0.0 END::DOUBLE)"
+    return out + sums(passes, unit) + f""",
+{name} AS MATERIALIZED (SELECT g, b, list_transform(m, lambda r: r[{p + 1}:]) AS cov FROM {name}_{passes} JOIN {name}_x{passes} USING (g))"""
+
+
+def weighted_by(design: Design, censor: Design | None = None) -> str:
+    """``WEIGHTED`` with switch models (and drop-out models, by stratum) that have no closed form."""
+    out = TRIALS + logit("swd", f"SELECT Ap AS g, {design_list(design)} AS x, A AS y, 1.0 AS w FROM panel", len(design))
+    drop, ratio = "", ""
+    if censor is not None:
+        out += logit("cnd", f"SELECT Ap AS g, {design_list(censor)} AS x, 1 - C AS y, 1.0 AS w FROM panel", len(censor))
+        drop = f", 1 / (1 + exp(-list_dot_product({design_list(censor)}, cnd.b))) AS cd, avg(1 - C) OVER (PARTITION BY Ap) AS cn"
+        ratio = " * cn / cd"
+    joined = " JOIN cnd ON cnd.g = Ap" if censor is not None else ""
+    return out + f""",
+wm AS (SELECT panel.*, 1 / (1 + exp(-list_dot_product({design_list(design)}, swd.b))) AS pd, avg(A) OVER (PARTITION BY Ap) AS pn{drop}
+  FROM panel JOIN swd ON swd.g = Ap{joined}),
+wv AS (SELECT *, CASE WHEN A = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END{ratio} AS wt FROM wm),
+cw AS (SELECT *, product(wt) OVER (PARTITION BY id ORDER BY t) AS cum_weight FROM wv),
+wpp AS (SELECT pp.*, a.cum_weight / b.cum_weight AS weight FROM pp
+  JOIN cw a ON a.id = pp.id AND a.t = pp.now JOIN cw b ON b.id = pp.id AND b.t = pp.trial_period)"""
+
+
+def outcome_by(design: Design) -> str:
+    """The weighted outcome model ``oc``."""
+    return logit("oc", f"SELECT 0 AS g, {design_list(design)} AS x, outcome AS y, weight AS w FROM wpp", len(design))
+
+
+def curves_by(design: Design, visits: int, coefs: str = "SELECT 0 AS rep, b FROM oc") -> str:
+    """``marks``: curves of each row (rep, b) of ``coefs``, standardised over the first trial."""
+    return f""",
+bs AS (SELECT id, X2, X4, c_mktsegment FROM pp WHERE trial_period = 0 AND followup_time = 0),
+cx AS MATERIALIZED (SELECT id, assigned_treatment, followup_time, {design_list(design)} AS x FROM bs, range(2) a(assigned_treatment), range({visits}) k(followup_time)),
+ch AS (SELECT rep, id, assigned_treatment, followup_time, 1 - 1 / (1 + exp(-list_dot_product(x, b))) AS s FROM cx, ({coefs})),
+cs AS (SELECT *, product(s) OVER (PARTITION BY rep, id, assigned_treatment ORDER BY followup_time) AS alive FROM ch),
+mn AS (SELECT rep, assigned_treatment, followup_time, avg(alive) AS s FROM cs GROUP BY 1, 2, 3),
+marks AS (SELECT a.rep, a.followup_time::INTEGER AS followup_time, a.s AS survival_treatment, b.s AS survival_control, a.s - b.s AS survival_difference,
+    a.s / b.s AS survival_ratio, b.s - a.s AS mrd FROM mn a JOIN mn b USING (rep, followup_time)
+  WHERE a.assigned_treatment = 1 AND b.assigned_treatment = 0)"""
+
+
+def robust_by(design: Design) -> str:
+    """``rv``: robust covariance of ``oc`` (i, j, v), scores added up by person."""
+    p = len(design)
+    return f""",
+rs1 AS (SELECT id, i, sum(weight * (outcome - 1 / (1 + exp(-list_dot_product(x, b)))) * x[i + 1]) AS s
+  FROM (SELECT id, weight, outcome, {design_list(design)} AS x FROM wpp), oc, range({p}) t(i) GROUP BY 1, 2),
+rmeat AS (SELECT a.i, b.i AS j, sum(a.s * b.s) AS m FROM rs1 a JOIN rs1 b USING (id) GROUP BY 1, 2),
+rn AS (SELECT count(DISTINCT id) AS n FROM wpp),
+rleft AS (SELECT c.i, m.j, sum(cov[c.i + 1][m.i + 1] * m.m) AS v FROM oc, range({p}) c(i), rmeat m GROUP BY 1, 2),
+rv AS MATERIALIZED (SELECT l.i, c.j, sum(l.v * cov[l.j + 1][c.j + 1]) * any_value(n / (n - 1)) AS v FROM oc, rleft l, range({p}) c(j), rn GROUP BY 1, 2)"""
+
+
+def normal_by(p: int, draws: int, seed: int, covariance: str, mean: str) -> str:
+    """``drawn_b``: (rep, b) of normal draws; ``covariance`` has (i, j, v) and ``mean`` (i, m), both from 0."""
+    return f""",
+nl AS (SELECT i, list(v ORDER BY j) AS l, max(CASE WHEN i = j THEN v END) AS top FROM ({covariance}) GROUP BY 1),
+nm AS MATERIALIZED (SELECT {eliminated('list(l ORDER BY i)', p, whole=False, tol=1e-14)} AS m FROM nl),
+nz AS MATERIALIZED (SELECT d, j, {normal_sql(seed, 'd', 'j')} AS z FROM range({draws}) a(d), range({p}) b(j)),
+nb AS (SELECT d, t.i, any_value(t.m) + sum(CASE WHEN j <= t.i AND nm.m[j + 1][j + 1] > 1e-14 THEN nm.m[j + 1][t.i + 1] / sqrt(nm.m[j + 1][j + 1]) * z ELSE 0 END) AS v
+  FROM nz, nm, ({mean}) t GROUP BY 1, 2),
+drawn_b AS MATERIALIZED (SELECT d::INTEGER AS rep, list(v ORDER BY i) AS b FROM nb GROUP BY 1)"""
