@@ -11,13 +11,14 @@ A document is rejected if the base counts fail, or if fewer than ``least_share``
 words remain. Only built-in column functions are used; arrays hold the lines and words
 of one document, and nothing is shuffled.
 
-Null and empty texts have no words and are rejected; other columns pass through, and
-names of helper columns are made so that they cannot clash.
+Null and empty texts have no words and are rejected; other columns pass through. No helper
+column is made, so none can clash.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -83,80 +84,94 @@ def line_fails(line: Column, words: Column, rules: Rules) -> Column:
     return nav | boilerplate | symbols | shouts | same | unclosed
 
 
-def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the struct column ``quality``: base counts, verdict and the cleaned text.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once and bound to a variable.
 
-    ``quality`` has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept_words, kept and clean_text (failed lines removed, the others joined
-    by line feeds; lines without a word stay).
+    Arrays that other expressions look into are bound this way: as columns of a projection, a filter on the
+    result would put them into the bodies of lambdas, to be made again for each element.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    t, w, g, h, s, p, ln = (f"_quality_{x}" for x in ("text", "words", "hashes", "windows", "sorted", "places", "lines"))
-    k = rules.window
-    out = docs.withColumn(t, text).withColumn(w, words_of(F.col(t)))
-    n = F.size(w)
-    # One 64-bit hash for each window of k words, in order, from the hashes of its words.
-    # (slice() would copy the whole array for each window.)
-    out = out.withColumn(g, F.transform(F.col(w), lambda x: F.xxhash64(x)))
-    out = out.withColumn(
-        h,
-        F.when(
-            n >= k,
-            F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(F.col(g), i + j) for j in range(k)])),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    # Places of windows found more than once: neighbours among the sorted hashes.
-    repeated = F.size(F.array_distinct(F.col(h))) < F.size(h)
-    out = out.withColumn(
-        s,
-        F.when(
-            repeated, F.array_sort(F.transform(F.col(h), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-    )
-    here = F.col(s)
-    out = out.withColumn(
-        p,
-        F.array_sort(
-            F.transform(
-                F.filter(
-                    here,
-                    lambda x, i: (F.get(here, i - 1)["h"].eqNullSafe(x["h"])) | (F.get(here, i + 1)["h"].eqNullSafe(x["h"])),
-                ),
-                lambda x: x["i"],
-            )
-        ),
-    )
-    places = F.col(p)
-    covered = F.aggregate(
-        F.transform(places, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(places, i + 1) - x, F.lit(k)))),
-        F.lit(0),
-        lambda a, x: a + x,
-    )
+    return F.transform(F.array(value), body)[0]
+
+
+def _windows(hashes: Column, k: int) -> Column:
+    """One 64-bit hash for each window of k words, in order, from the hashes of its words.
+
+    (slice() would copy the whole array for each window.)
+    """
+    n = F.size(hashes)
+    each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+    return F.when(n >= k, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sorted_places(windows: Column) -> Column:
+    """Windows with their places, by hash; none if no hash repeats."""
+    repeated = F.size(F.array_distinct(windows)) < F.size(windows)
+    placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(repeated, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def _repeated_places(here: Column) -> Column:
+    """Places of windows found more than once: neighbours among the sorted hashes."""
+    same = lambda x, i: (F.get(here, i - 1)["h"].eqNullSafe(x["h"])) | (F.get(here, i + 1)["h"].eqNullSafe(x["h"]))
+    return F.array_sort(F.transform(F.filter(here, same), lambda x: x["i"]))
+
+
+def _covered(places: Column, k: int) -> Column:
+    """Number of words in the windows at sorted ``places``."""
+    steps = F.transform(places, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(places, i + 1) - x, F.lit(k))))
+    return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+
+
+def _lines(text: Column, rules: Rules) -> Column:
+    """Lines with their number of words and whether they fail."""
     # Two steps, so that the words of a line are counted once.
     counted = F.transform(
-        F.split(F.col(t), "\n"), lambda line: F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words"))
-    )
-    lines = F.transform(
-        counted,
-        lambda x: x.withField(
-            "fails", F.when(x["words"] > 0, line_fails(x["line"], x["words"], rules)).otherwise(F.lit(False))
-        ),
+        F.split(text, "\n"), lambda line: F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words"))
     )
-    out = out.withColumn(ln, lines)
-    full = F.transform(F.filter(F.col(ln), lambda x: x["words"] > 0), lambda x: x["line"])
-    stay = F.filter(F.col(ln), lambda x: ~x["fails"])
+    fails = lambda x: F.when(x["words"] > 0, line_fails(x["line"], x["words"], rules)).otherwise(F.lit(False))
+    return F.transform(counted, lambda x: x.withField("fails", fails(x)))
+
+
+def _counts(text: Column, words: Column, covered: Column, lines: Column) -> Column:
+    full = F.transform(F.filter(lines, lambda x: x["words"] > 0), lambda x: x["line"])
+    stay = F.filter(lines, lambda x: ~x["fails"])
     kept_words = F.aggregate(stay, F.lit(0), lambda a, x: a + x["words"])
-    quality = F.struct(
-        n.cast("long").alias("n_words"),
-        F.aggregate(F.col(w), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        _count(F.col(t), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
+    return F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
+        let(full, lambda f: (F.size(f) - F.size(F.array_distinct(f))).cast("long")).alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         kept_words.cast("long").alias("kept_words"),
         F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("clean_text"),
     )
-    out = out.withColumn("quality", quality).drop(t, w, g, h, s, p, ln)
-    q = F.col("quality")
+
+
+def _verdict(q: Column, rules: Rules) -> Column:
     failed = (q["n_words"] < rules.least_words) | (100 * q["n_repeat_words"] > rules.most_repeat_pct * q["n_words"])
     kept = ~failed & (q["kept_words"] >= rules.least_share * q["n_words"])
-    return out.withColumn("quality", q.withField("base_failed", failed).withField("kept", kept))
+    return q.withField("base_failed", failed).withField("kept", kept)
+
+
+def judged(text: Column, rules: Rules = Rules()) -> Column:
+    """The struct of ``clean_lines`` for one text, as one expression."""
+    k = rules.window
+
+    def of(t: Column, w: Column) -> Column:
+        repeats = let(
+            F.transform(w, lambda x: F.xxhash64(x)),
+            lambda g: let(_windows(g, k), lambda h: let(_sorted_places(h), lambda s: let(_repeated_places(s), lambda p: _covered(p, k)))),
+        )
+        return let(_lines(t, rules), lambda lines: let(_counts(t, w, repeats, lines), lambda q: _verdict(q, rules)))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words_of(t), lambda w: of(t, w)))
+
+
+def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``docs`` with the struct column ``quality``: base counts, verdict and the cleaned text.
+
+    ``quality`` has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    kept_words, clean_text (failed lines removed, the others joined by line feeds; lines without a
+    word stay), base_failed and kept. A column of that name is replaced, all others pass through.
+    """
+    return docs.withColumn("quality", judged(F.col("text"), rules))
