@@ -72,12 +72,17 @@ def unpack(flat: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return gram, flat[tri : tri + p], flat[tri + p :]
 
 
-def independent_terms(gram: np.ndarray, tol: float = 1e-9) -> np.ndarray:
-    """Terms that are no linear combination of the ones before them."""
+def independent_terms(gram: np.ndarray, tol: float = 1e-9, scale: np.ndarray | None = None) -> np.ndarray:
+    """Terms that are no linear combination of the ones before them.
+
+    A factor that reveals the rank in the given order: a term is kept if what the terms before
+    leave of it is more than ``tol``, in units of ``scale`` (by default the term's own).
+    """
     p = len(gram)
-    scale = np.sqrt(np.maximum(np.diag(gram), 0.0))
+    own = np.sqrt(np.maximum(np.diag(gram), 0.0))
+    scale = own if scale is None else scale
     keep = np.zeros(p, dtype=bool)
-    top = scale.max(initial=0.0)
+    top = own.max(initial=0.0)
     safe = np.where(scale > 0, scale, 1.0)
     s = gram / np.outer(safe, safe)
     basis = np.zeros((p, p))
@@ -101,8 +106,13 @@ def inverse_on(gram: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return out
 
 
-def positive_definite(matrix: np.ndarray) -> bool:
-    return bool(np.isfinite(matrix).all() and (np.linalg.eigvalsh((matrix + matrix.T) / 2) > 0).all())
+def positive_definite(matrix: np.ndarray, tol: float = 1e-10) -> bool:
+    """Whether every direction has variance, measured in units of the terms' own; rounding is none."""
+    if not np.isfinite(matrix).all() or (np.diag(matrix) <= 0).any():
+        return False
+    scale = np.sqrt(np.diag(matrix))
+    values = np.linalg.eigvalsh((matrix + matrix.T) / 2 / np.outer(scale, scale))
+    return bool((values > tol).all())
 
 
 def cholesky(cov: np.ndarray, tol: float = 1e-12) -> np.ndarray:
@@ -124,14 +134,16 @@ def normal_draws(mean: np.ndarray, cov: np.ndarray, size: int, seed: int) -> np.
     return mean + counter.normal(seed, np.arange(size), len(mean)) @ cholesky(cov).T
 
 
-def separated(gram: np.ndarray, first: np.ndarray, step: np.ndarray, coef: np.ndarray) -> bool:
+def separated(first: np.ndarray, step: np.ndarray, coef: np.ndarray) -> bool:
     """Whether a fit that has settled still runs away along ``step``.
 
     Where an outcome is certain, a coefficient grows by about one unit of the linear predictor with every
     step while the deviance no longer falls; at a finite maximum the last step is next to nothing.
-    ``first`` is the information at 0, which gives the size of the terms.
+    ``first`` is the information at the start, which gives the size of the terms; one that had next to none
+    there already is taken as it is.
     """
     size = np.sqrt(np.maximum(np.diag(first), 0.0) / max(float(np.diag(first).max(initial=0.0)), 1e-300))
+    size = np.where(size < 1e-3, 1.0, size)
     far = (np.abs(step) > 0.02 * np.abs(coef)) & (np.abs(step) * size > 1e-4)
     return bool(far.any())
 
@@ -173,6 +185,7 @@ class Newton:
         self.done = np.zeros(self.r, dtype=bool)
         self.converged = np.zeros(self.r, dtype=bool)
         self.separated = np.zeros(self.r, dtype=bool)
+        self.spent = np.zeros(self.r, dtype=bool)
         self.finite = np.ones(self.r, dtype=bool)
         self.tested = np.zeros(self.r, dtype=bool)
         self.deviance = np.full(self.r, np.nan)
@@ -199,8 +212,12 @@ class Newton:
         self.fit_passes[r], self.tested[r], self.deviance[r] = 0, False, np.nan
 
     def _step(self, r: int, gram: np.ndarray, score: np.ndarray) -> np.ndarray | None:
+        """Newton step over the kept terms; a term without information left, at a probability of 0 or 1, stays."""
         step = np.zeros(self.p)
         idx = np.flatnonzero(self.keep[:, r])
+        live = independent_terms(gram[np.ix_(idx, idx)], 1e-12, np.sqrt(np.diag(self.first[r])[idx]))
+        self.spent[r] = not live.all()
+        idx = idx[live]
         try:
             step[idx] = np.linalg.solve(gram[np.ix_(idx, idx)], score[idx])
         except np.linalg.LinAlgError:
@@ -209,8 +226,7 @@ class Newton:
 
     def _settle(self, r: int, step: np.ndarray | None) -> None:
         self.done[r] = self.converged[r] = True
-        # Without a step the matrix is singular at the end though it was not at 0.
-        self.separated[r] = step is None or separated(self.gram[r], self.first[r], step, self.coef[:, r])
+        self.separated[r] = step is None or self.spent[r] or separated(self.first[r], step, self.coef[:, r])
 
     def _update_one(self, r: int, row: np.ndarray) -> None:
         gram, score, tail = unpack(row, self.p)

@@ -27,7 +27,7 @@ class Layout:
     visits: int
     replicates: int
     first: int
-    counts: str  # "drawn": listed draws, "leave_one_out", "ones"
+    counts: str  # "drawn": listed draws, "left_out": all but one of the persons ``left_out``, "ones"
     treatment: str
     prev_treatment: str
     period: str
@@ -36,6 +36,7 @@ class Layout:
     eligible_wts: tuple[tuple[int, str], ...]
     outcome: Design
     trials: tuple[int, ...] | None
+    left_out: tuple[int, ...] = ()  # persons' numbers in ascending order, one for each replicate
 
 
 @dataclass
@@ -70,9 +71,9 @@ def _counts(column: pa.ListArray, m: int, lay: Layout) -> np.ndarray:
     return cells.reshape(m, lay.replicates).astype(np.float64)
 
 
-def people(batches: Iterator[pa.RecordBatch], lay: Layout) -> Iterator[People]:
-    """Cut batches into slices that keep persons x visits x replicates bounded."""
-    step = max(8, CELLS // (lay.visits * lay.replicates))
+def people(batches: Iterator[pa.RecordBatch], lay: Layout, most: int = CELLS) -> Iterator[People]:
+    """Cut batches into slices of ``most`` persons at most, that keep persons x visits x replicates bounded."""
+    step = min(max(8, CELLS // (lay.visits * lay.replicates)), most)
     for whole in batches:
         for lo in range(0, whole.num_rows, step):
             batch = whole.slice(lo, step)
@@ -81,9 +82,10 @@ def people(batches: Iterator[pa.RecordBatch], lay: Layout) -> Iterator[People]:
                 n = _counts(batch.column("drawn"), m, lay)
             else:
                 n = np.ones((m, lay.replicates))
-                if lay.counts == "leave_one_out":
-                    at = batch.column("idx").to_numpy() - lay.first
-                    hit = np.flatnonzero((at >= 0) & (at < lay.replicates))
+                if lay.counts == "left_out":
+                    left_out, idx = np.asarray(lay.left_out), batch.column("idx").to_numpy()
+                    at = np.minimum(np.searchsorted(left_out, idx), len(left_out) - 1)
+                    hit = np.flatnonzero(left_out[at] == idx)
                     n[hit, at[hit]] = 0.0
             visit_person, visit = _lists(batch.column("visits"))
             row_person, row = _lists(batch.column("rows"))

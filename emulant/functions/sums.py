@@ -22,6 +22,12 @@ def batch_of(sums: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def list_column(rows: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    offsets = pa.array(np.arange(0, rows.size + 1, max(rows.shape[1], 1), dtype=np.int32)[: len(rows) + 1])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows, dtype=np.float64).ravel()))
+
+
 def list_matrix(column: pa.ListArray, p: int) -> np.ndarray:
     """A list column of fixed length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)

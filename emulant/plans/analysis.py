@@ -6,20 +6,23 @@ person rows; the driver holds the coefficients of one block at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
+from itertools import islice
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emulant.functions import kernel
+from emulant.functions import leave_one_out as loo
 from emulant.functions import persons as people
 from emulant.functions.design import Design
-from emulant.functions.sums import add_partitions
+from emulant.functions.sums import add_partitions, list_column, list_matrix
 from emulant.operators import gcomp, regression, resample, trials, weights
 from emulant.operators.weights import WeightDesigns
 from emulant.session import keep, new_table_path, written
@@ -34,6 +37,7 @@ REPLICATE_SCHEMA = (
 )
 COEF_SCHEMA = "method string, rep int, term string, estimate double"
 PERSONS_PER_TASK = 20_000
+PERSONS_AT_ONCE = 512  # of which the tensors of one slice are made
 
 
 @dataclass(frozen=True)
@@ -112,6 +116,11 @@ class Moments:
         self.total = d.sum(axis=0) if self.total is None else self.total + d.sum(axis=0)
         self.outer = d.T @ d if self.outer is None else self.outer + d.T @ d
 
+    def merge(self, other: Moments | None) -> None:
+        if other is not None:
+            self.count, self.failed = self.count + other.count, self.failed + other.failed
+            self.total, self.outer = self.total + other.total, self.outer + other.outer
+
     def about_centre(self) -> np.ndarray:
         """Mean outer product of deviations from the centre."""
         return self.outer / self.count
@@ -126,6 +135,16 @@ class Moments:
         return (self.count - 1) / self.count * scatter
 
 
+def _near(starts: Mapping[str, np.ndarray] | None, name: str, fit: regression.LogitFit) -> np.ndarray:
+    """Starts of the replicates of a model: the full fit where none is given, or one far from it."""
+    full = fit.filled[:, None]
+    if starts is None:
+        return full
+    given = starts[name]
+    far = ~np.isfinite(given).all(axis=0) | (np.abs(np.nan_to_num(given) - full) > 1.0).any(axis=0)
+    return np.where(far, full, given)
+
+
 class _Sink:
     """Collects block results: in memory for one block, in the shared folder for more."""
 
@@ -305,22 +324,22 @@ class TrialAnalysis:
 
     # ---- passes ---------------------------------------------------------
 
-    def _total(self, rows: DataFrame, lay: people.Layout, keys: int, size: int, sums: Callable) -> np.ndarray:
+    def _total(self, rows: DataFrame, lay: people.Layout, keys: int, size: int, sums: Callable, most: int = people.CELLS) -> np.ndarray:
         def partial(batches):
             out = None
-            for group in people.people(batches, lay):
+            for group in people.people(batches, lay, most):
                 add = sums(group)
                 out = add if out is None else out + add
             return out
 
         return add_partitions(rows, keys, size, partial)
 
-    def _refit_weights(self, rows: DataFrame, lay: people.Layout) -> tuple[dict[str, np.ndarray], Status]:
+    def _refit_weights(self, rows: DataFrame, lay: people.Layout, starts: Mapping[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], Status]:
         """Weight-model coefficients of every replicate (terms x replicates), and what became of them."""
         p = self.plan
         state = [
             kernel.Newton(
-                len(design), lay.replicates, p.tol, p.max_iter, start=self.weight_fits[name].filled, last_step=True
+                len(design), lay.replicates, p.tol, p.max_iter, start=_near(starts, name, self.weight_fits[name]), last_step=True
             )
             for name, design, _, _ in lay.models
         ]
@@ -358,7 +377,7 @@ class TrialAnalysis:
             at += size
         return out
 
-    def _refit_outcome(self, rows, lay, coefs) -> tuple[np.ndarray, Status]:
+    def _refit_outcome(self, rows, lay, coefs, starts: Mapping[str, np.ndarray] | None = None) -> tuple[np.ndarray, Status]:
         """Outcome coefficients of every replicate, and what became of them."""
         p = self.plan
         s = kernel.Newton(
@@ -368,7 +387,7 @@ class TrialAnalysis:
             p.max_iter,
             names=tuple(lay.outcome.names),
             drop_order=p.drop_order,
-            start=self.fit.filled,
+            start=_near(starts, "outcome", self.fit),
             last_step=True,
         )
         while len(s.active):
@@ -397,12 +416,12 @@ class TrialAnalysis:
         with np.errstate(divide="ignore", invalid="ignore"):
             return got[:, : 2 * k] / np.concatenate([rows_, rows_], axis=1)
 
-    def _curve_rows(self, method: str, first: int, status: Status, means: np.ndarray) -> list:
+    def _curve_rows(self, method: str, reps: Sequence[int], status: Status, means: np.ndarray) -> list:
         k = self.plan.spec.visits
         status.not_finite = status.not_finite | ~np.isfinite(means).all(axis=1)
         out = []
         for r, row in enumerate(means):
-            head = (method, first + r, *status.row(r))
+            head = (method, reps[r], *status.row(r))
             for j in range(k):
                 t, c = float(row[j]), float(row[k + j])
                 if not np.isfinite([t, c]).all():
@@ -412,11 +431,9 @@ class TrialAnalysis:
                 out.append((*head, j, t, c, t - c, ratio, c - t))
         return out
 
-    def _coef_rows(self, method: str, first: int, b: np.ndarray) -> list:
+    def _coef_rows(self, method: str, reps: Sequence[int], b: np.ndarray) -> list:
         names = self.fit.design.names
-        return [
-            (method, first + r, name, float(b[i, r])) for r in range(b.shape[1]) for i, name in enumerate(names)
-        ]
+        return [(method, reps[r], name, float(b[i, r])) for r in range(b.shape[1]) for i, name in enumerate(names)]
 
     # ---- methods --------------------------------------------------------
 
@@ -440,23 +457,121 @@ class TrialAnalysis:
         return self._run(prepared(), methods, len(blocks))
 
     def jackknife(self) -> Replicates:
-        """Leave-one-person-out refits, one replicate per person."""
-        n = self.person_count
-        blocks = [(lo, min(lo + self.plan.block, n)) for lo in range(0, n, self.plan.block)]
-        prepared = ((self.persons, self._layout(hi - lo, lo, "leave_one_out")) for lo, hi in blocks)
-        return self._run(prepared, ("bootstrap",), len(blocks), label="jackknife")
+        """Leave-one-person-out fits, one replicate per person.
+
+        One pass adds up how the scores of all persons change with the coefficients; then each person's fits
+        are solved where the person lies, and its rows are made there. Persons for whom that isn't
+        exact to ``leave_one_out.NEAR`` are refitted by passes over all persons, in blocks.
+        """
+        fits = self._full_fits()
+        lay = fits.lay
+        keys = max(1, -(-fits.length // 4096))
+
+        def tensors(group):
+            flat = np.zeros(keys * 4096)
+            flat[: fits.length] = loo.sums(group, fits)[0]
+            return flat.reshape(keys, 4096)
+
+        flat = self._total(self.persons, lay, keys, 4096, tensors, most=PERSONS_AT_ONCE).ravel()[: fits.length]
+        solved = self._hold(self._solved_without(fits, flat), "left-out")
+        names = self.fit.design.names
+        coefs = solved.filter("good").select(
+            F.lit("jackknife").alias("method"), F.col("idx").cast("int").alias("rep"), F.posexplode("coef").alias("_i", "estimate")
+        )
+        term = F.get(F.array(*[F.lit(c) for c in names]), F.col("_i"))
+        coefs = coefs.select("method", "rep", term.alias("term"), "estimate")
+        moments = self._moments(solved)
+        exact = self._run(self._left_out_blocks(solved), ("bootstrap",), 2, label="jackknife")
+        moments.merge(exact.moments.get("jackknife"))
+        curves = self._left_out_curves(solved).unionByName(exact.curves)
+        return Replicates(curves, coefs.unionByName(exact.coefficients), {"jackknife": moments})
+
+    def _full_fits(self) -> loo.Fits:
+        lay = self._layout(1, 0, "ones")
+
+        def kept(fit: regression.LogitFit) -> np.ndarray:
+            return np.flatnonzero(~np.isnan(fit.coef))
+
+        used = [self.weight_fits[name] for name, _, _, _ in lay.models]
+        return loo.Fits(lay, tuple(f.filled for f in used), tuple(kept(f) for f in used), self.fit.filled, kept(self.fit))
+
+    def _solved_without(self, fits: loo.Fits, flat: np.ndarray) -> DataFrame:
+        """(idx, good, theta, coef, means) of every person: coefficients and mean survival without the person."""
+        divisor = 1 if self.plan.normalise == "rows" else 2
+
+        def run(batches):
+            solver = loo.Solver(fits, flat)
+            for batch in batches:
+                done = [solver.solve(group) for group in people.people(iter([batch]), fits.lay, PERSONS_AT_ONCE)]
+                if not done:
+                    continue
+                theta, coef, means, good = (np.concatenate(parts) for parts in zip(*done))
+                with np.errstate(all="ignore"):
+                    means = means[:, :, 0] / means[:, :, divisor]
+                good &= np.isfinite(means).all(axis=1)
+                lists = [list_column(a) for a in (theta, coef, means)]
+                yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(good), *lists], ["idx", "good", "theta", "coef", "means"])
+
+        return self.persons.mapInArrow(run, "idx long, good boolean, theta array<double>, coef array<double>, means array<double>")
+
+    def _left_out_curves(self, solved: DataFrame) -> DataFrame:
+        k = self.plan.spec.visits
+        rows = solved.filter("good").select("idx", "means", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("followup_time"))
+        t, c = F.get("means", F.col("followup_time")), F.get("means", F.col("followup_time") + k)
+        return rows.select(
+            F.lit("jackknife").alias("method"),
+            F.col("idx").cast("int").alias("rep"),
+            *[F.lit(0).alias(s) for s in STATUS],
+            "followup_time",
+            t.alias("survival_treatment"),
+            c.alias("survival_control"),
+            (t - c).alias("survival_difference"),
+            F.when(c != 0, t / c).alias("survival_ratio"),
+            (c - t).alias("mrd"),
+        )
+
+    def _moments(self, solved: DataFrame) -> Moments:
+        """Moments of the solved coefficients, added up on executors."""
+        centre, p = self.fit.filled, len(self.fit.filled)
+
+        def run(batches):
+            out = None
+            for batch in batches:
+                d = list_matrix(batch.column("coef"), p) - centre
+                add = np.concatenate([d.sum(axis=0), (d.T @ d).ravel(), [len(d)]])[None, :]
+                out = add if out is None else out + add
+            return out
+
+        got = add_partitions(solved.filter("good").select("coef"), 1, p * p + p + 1, run)[0]
+        return Moments(centre, int(got[-1]), 0, got[:p], got[p:-1].reshape(p, p))
+
+    def _left_out_blocks(self, solved: DataFrame) -> Iterator[tuple[DataFrame, people.Layout]]:
+        """Blocks of the persons that are left to exact passes, with coefficients close to theirs as starts.
+
+        The driver holds the coefficients of one block, as for any replicates.
+        """
+        rest = solved.filter("NOT good").select("idx", "theta", "coef").toLocalIterator()
+        while block := sorted(islice(rest, self.plan.block)):
+            lay = replace(self._layout(len(block), 0, "left_out"), left_out=tuple(r["idx"] for r in block))
+            starts, at = {}, 0
+            theta, coef = (np.array([r[c] for r in block]).T.reshape(-1, len(block)) for c in ("theta", "coef"))
+            for name, design, _, _ in lay.models:
+                starts[name] = theta[at : at + len(design)]
+                at += len(design)
+            yield self.persons, lay, starts | {"outcome": coef}
 
     def _run(self, prepared, methods: Sequence[str], blocks: int, label: str | None = None) -> Replicates:
         curves = _Sink(self.spark, REPLICATE_SCHEMA, "replicates", blocks)
         coefs = _Sink(self.spark, COEF_SCHEMA, "coefficients", blocks)
         moments = {}
-        for rows, lay in prepared:
+        for rows, lay, *given in prepared:
+            starts = given[0] if given else None
             refit, unfit = None, Status.good(lay.replicates)
             if {"bootstrap", "lef_outcome"} & set(methods):
-                refit, unfit = self._refit_weights(rows, lay)
+                refit, unfit = self._refit_weights(rows, lay, starts)
             for method in methods:
                 if method == "bootstrap":
-                    b, status = self._refit_outcome(rows, lay, refit)
+                    b, status = self._refit_outcome(rows, lay, refit, starts)
                     # A term can be lost by the outcome model only; a weight model predicts without it.
                     status |= replace(unfit, failed=status.failed)
                 elif method == "lef_outcome":
@@ -468,8 +583,9 @@ class TrialAnalysis:
                 status.not_finite = status.not_finite | ~np.isfinite(b).all(axis=0)
                 name = label or method
                 moments.setdefault(name, Moments(self.fit.filled)).add(b, status.failed)
-                curves.add(self._curve_rows(name, lay.first, status, self._curves(rows, lay, b)))
-                coefs.add(self._coef_rows(name, lay.first, b))
+                reps = lay.left_out or range(lay.first, lay.first + lay.replicates)
+                curves.add(self._curve_rows(name, reps, status, self._curves(rows, lay, b)))
+                coefs.add(self._coef_rows(name, reps, b))
         return Replicates(curves.table(), coefs.table(), moments)
 
     def normal_replicates(self, covariance: np.ndarray, size: int, seed: int, method: str) -> DataFrame | None:
@@ -484,6 +600,6 @@ class TrialAnalysis:
         for lo, hi in blocks:
             lay = self._layout(hi - lo, lo, "ones")
             means = self._curves(self.persons, lay, b[lo:hi].T)
-            sink.add(self._curve_rows(method, lo, Status.good(hi - lo), means))
+            sink.add(self._curve_rows(method, range(lo, hi), Status.good(hi - lo), means))
         return sink.table()
 

@@ -608,6 +608,49 @@ def intention_to_treat_curve(spark, folder):
     return rounded(G.marginal_curves(rows, M.fit_logit(rows, OUTCOME_CELLS, "outcome"), VISITS))
 
 
+_ITT_PLAN = replace(SATURATED, estimand="ITT")
+_ITT = f"WITH {Q.PANEL} {Q.TRIALS}, wpp AS (SELECT *, 1.0 AS weight FROM itt) {Q.CELLS} {Q.draws(REPLICATES, SEED, 'itt')}"
+
+
+@query(
+    "intention_to_treat_limits",
+    f"""{_ITT}, rr AS (SELECT c.rep, c.n, itt.*, c.n::DOUBLE AS w FROM itt JOIN counts c USING (id)) {Q.REFIT_CELLS} {Q.REPLICATE_CURVES},
+    u AS (UNPIVOT reps ON survival_treatment, survival_control, survival_difference, survival_ratio INTO NAME measure VALUE v)
+    SELECT followup_time, measure, round(quantile_cont(v, 0.025), 6) AS lb, round(quantile_cont(v, 0.975), 6) AS ub FROM u GROUP BY 1, 2""",
+)
+def intention_to_treat_limits(spark, folder):
+    """Bootstrap limits of survival, difference and ratio, persons followed whatever they take."""
+    with TrialAnalysis(panel(spark, folder), _ITT_PLAN) as a:
+        return rounded(I.measure_ci(a.bootstrap(REPLICATES, SEED, ("bootstrap",)).curves))
+
+
+_MISSING = f"""WITH {Q.HISTORY}, panel AS (SELECT * REPLACE (CASE WHEN id % 11 <> t THEN c_mktsegment END AS c_mktsegment)
+    FROM hist WHERE Yp = 0 AND t <= 4) {Q.TRIALS},
+  wm AS (SELECT *, avg(A) OVER (PARTITION BY Ap, c_mktsegment) AS pd, avg(A) OVER (PARTITION BY Ap) AS pn FROM panel),
+  wv AS (SELECT *, CASE WHEN c_mktsegment IS NOT NULL THEN CASE WHEN A = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END END AS wt FROM wm),
+  cw AS (SELECT *, CASE WHEN wt IS NOT NULL THEN product(wt) OVER (PARTITION BY id ORDER BY t) END AS cum_weight FROM wv),
+  wall AS (SELECT pp.*, a.cum_weight / b.cum_weight AS weight FROM pp
+    JOIN cw a ON a.id = pp.id AND a.t = pp.now JOIN cw b ON b.id = pp.id AND b.t = pp.trial_period),
+  wpp AS (SELECT * FROM wall WHERE weight IS NOT NULL) {Q.CELLS}"""
+
+
+def _with_missing(spark, folder):
+    return panel(spark, folder).withColumn("c_mktsegment", F.when(F.col("id") % 11 != F.col("t"), F.col("c_mktsegment")))
+
+
+@query("trials_with_missing_weights", f"{_MISSING} SELECT id, trial_period, followup_time, outcome, round(weight, 6) AS weight FROM wall")
+def trials_with_missing_weights(spark, folder):
+    """A visit without a weight stays in its trials, with NULL; later visits have the product of the others."""
+    with TrialAnalysis(_with_missing(spark, folder), SATURATED) as a:
+        return rounded(a.expanded.select("id", "trial_period", "followup_time", "outcome", "weight"))
+
+
+@query("risk_difference_with_missing_weights", f"{_MISSING} SELECT {_CURVE_COLUMNS} FROM curve")
+def risk_difference_with_missing_weights(spark, folder):
+    with TrialAnalysis(_with_missing(spark, folder), SATURATED) as a:
+        return rounded(a.curve())
+
+
 _KM_SQL = """last AS (SELECT {by} id, max(t) AS time, arg_max(Y, t) AS status FROM panel GROUP BY ALL),
   pt AS (SELECT {by} time, count(*) AS m, sum(status)::BIGINT AS n_event FROM last GROUP BY ALL),
   ar AS (SELECT *, sum(m) OVER ({part} ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS n_risk FROM pt),
@@ -754,30 +797,61 @@ def _lost(k: int, n: str) -> str:
 )
 def failed_replicates(spark, folder):
     """Replicates in which the treatment term of a late visit is lost."""
+    with TrialAnalysis(S.event_panel(spark, folder).filter(F.col("t") < VISITS), _late_terms_plan()) as a:
+        return I.failed_replicates(a.bootstrap(40, SEED, ("bootstrap",)).curves).drop("method")
+
+
+def _late_terms_plan() -> Plan:
+    """Arm by visit, saturated, with the treatment terms of the last visits to be dropped where an arm is empty."""
     levels = [Level("followup_time", k) for k in range(1, VISITS)]
     terms = [Term(f"t_{v.value}", (v,)) for v in levels]
     terms += [Term(f"t_{v.value}A", (v, Level("assigned_treatment", 1))) for v in levels]
-    plan = Plan(
-        SPEC,
-        W.WeightDesigns(Design.of()),
-        Design.of("assigned_treatment", *terms),
-        drop_order=("t_4A", "t_3A"),
-    )
-    rows = S.event_panel(spark, folder).filter(F.col("t") < VISITS)
-    with TrialAnalysis(rows, plan) as a:
-        return I.failed_replicates(a.bootstrap(40, SEED, ("bootstrap",)).curves).drop("method")
+    return Plan(SPEC, W.WeightDesigns(Design.of()), Design.of("assigned_treatment", *terms), drop_order=("t_4A", "t_3A"))
+
+
+_STATUS_COLUMNS = ", ".join(f"sum({c}::INTEGER)::BIGINT AS {c}" for c in STATUS)
+
 
+@query(
+    "replicate_status",
+    f"""WITH {Q.EVENT_PANEL5} {Q.TRIALS} {Q.draws(40, SEED)},
+    f AS (SELECT {_lost(4, '1')} AS f4, {_lost(3, '1')} AS f3 FROM pp),
+    l AS (SELECT rep, {_lost(4, 'n')} AS r4, {_lost(3, 'n')} AS r3 FROM pp JOIN counts USING (id) GROUP BY 1),
+    c AS (SELECT rep, sum(n * outcome) AS hit, sum(n) AS n FROM pp JOIN counts USING (id) GROUP BY rep, assigned_treatment, followup_time
+      UNION ALL SELECT rep, sum(n * A), sum(n) FROM panel JOIN counts USING (id) GROUP BY rep, Ap),
+    e AS (SELECT rep, bool_or(n > 0 AND (hit = 0 OR hit = n)) AS separated FROM c GROUP BY 1),
+    s AS (SELECT rep, CASE WHEN NOT f4 THEN r4 WHEN NOT f3 THEN r3 ELSE false END AS failed, separated, false AS not_converged, false AS not_finite
+      FROM l JOIN e USING (rep), f)
+    SELECT count(*) AS replicates, {_STATUS_COLUMNS} FROM s""",
+)
+def replicate_status(spark, folder):
+    """What became of the replicates: a lost term, an arm without (or with nothing but) events at a visit, no convergence."""
+    with TrialAnalysis(S.event_panel(spark, folder).filter(F.col("t") < VISITS), _late_terms_plan()) as a:
+        return I.replicate_status(a.bootstrap(40, SEED, ("bootstrap",)).curves).drop("method")
+
+
+_PIVOTS = Q.eliminated("list(l ORDER BY i)", 10, whole=False, tol=1e-300)
 
-@query("covariance_check", f"{_CURVE} SELECT count(*) AS terms, true AS positive_definite FROM cell WHERE p > 0 AND p < 1")
+
+@query(
+    "covariance_check",
+    f"""{_LEF_OUTCOME}, d AS (SELECT rep, assigned_treatment * {VISITS} + followup_time AS i, b - ln(cell.p / (1 - cell.p)) AS d FROM rb
+      JOIN cell USING (assigned_treatment, followup_time)),
+    v AS (SELECT k.m, a.i, b.i AS j, avg(a.d * b.d) AS v FROM (VALUES (4), ({REPLICATES})) k(m) JOIN d a ON a.rep < k.m
+      JOIN d b ON b.rep = a.rep GROUP BY 1, 2, 3),
+    l AS (SELECT m, i, list(v ORDER BY j) AS l, max(CASE WHEN i = j THEN v END) AS own FROM v GROUP BY 1, 2),
+    x AS (SELECT m AS replicates, list(own ORDER BY i) AS own, {_PIVOTS} AS m FROM l GROUP BY 1)
+    SELECT replicates::BIGINT AS replicates, len(own)::BIGINT AS terms,
+      list_bool_and(list_transform(own, lambda o, i: m[i][i] > 1e-9 * o)) AS positive_definite FROM x""",
+)
 def covariance_check(spark, folder):
-    """Whether the robust covariance can be drawn from."""
-    rows = weighted_rows(spark, folder)
-    fit = M.fit_logit(rows, OUTCOME_CELLS, "outcome", "weight")
-    robust = M.sandwich(rows, fit, "outcome", "weight")
-    used = ~np.isnan(fit.coef)
-    return spark.createDataFrame(
-        [(int(used.sum()), positive_definite(robust[np.ix_(used, used)]))], "terms bigint, positive_definite boolean"
-    )
+    """Whether a covariance can be drawn from: one of fewer replicates than terms, and one of more."""
+    rows = []
+    with TrialAnalysis(panel(spark, folder), SATURATED) as a:
+        for m in (4, REPLICATES):
+            cov = a.bootstrap(m, SEED, ("lef_outcome",)).moments["lef_outcome"].about_centre()
+            rows.append((m, len(cov), positive_definite(cov)))
+    return spark.createDataFrame(rows, "replicates bigint, terms bigint, positive_definite boolean")
 
 
 @query(
@@ -793,10 +867,24 @@ def one_step_variance(spark, folder):
     return rounded(M.covariance_rows(spark, {"lef": (a.fit.design, moments.about_centre())}).drop("model"), 5)
 
 
-@query("one_step_normal_limits")
+_CELL = f"assigned_treatment * {VISITS} + followup_time"
+_CELL_DRAWS = f"""
+    dh AS (SELECT rep, a, k, 1 - 1 / (1 + exp(-b[a * {VISITS} + k + 1])) AS s FROM drawn_b, range(2) x(a), range({VISITS}) y(k)),
+    ds AS (SELECT rep, a, k::INTEGER AS followup_time, product(s) OVER (PARTITION BY rep, a ORDER BY k) AS s FROM dh),
+    dm AS (SELECT rep, followup_time, max(CASE WHEN a = 0 THEN s END) - max(CASE WHEN a = 1 THEN s END) AS mrd FROM ds GROUP BY 1, 2)"""
+
+
+@query(
+    "one_step_normal_limits",
+    f"""{_LEF_OUTCOME}, d AS (SELECT rep, {_CELL} AS i, b - ln(cell.p / (1 - cell.p)) AS d FROM rb JOIN cell USING (assigned_treatment, followup_time))
+    {Q.normal_by(2 * VISITS, DRAWS, SEED, "SELECT a.i, b.i AS j, avg(a.d * b.d) AS v FROM d a JOIN d b USING (rep) GROUP BY 1, 2",
+                 f"SELECT {_CELL} AS i, ln(p / (1 - p)) AS m FROM cell")},
+    {_CELL_DRAWS} SELECT {_LIMITS} FROM dm GROUP BY 1""",
+)
 def one_step_normal_limits(spark, folder):
+    """Normal draws with the variance of the one-step coefficients."""
     with TrialAnalysis(panel(spark, folder), SATURATED) as a:
-        return rounded(I.ci_lef(a, REPLICATES, SEED, "mvn", draws=100).drop("method"))
+        return rounded(I.ci_lef(a, REPLICATES, SEED, "mvn", draws=DRAWS).drop("method"))
 
 
 def _events(spark, folder):
@@ -826,26 +914,36 @@ def jackknife_wald_limits_about_mean(spark, folder):
     return rounded(I.ci_jackknife(_events(spark, folder), "mean"))
 
 
+_ARMS = replace(EVENT_PLAN, outcome=cell_terms(("assigned_treatment", (0, 1))))
+_ARM_FITS = f"""WITH {Q.EVENT_PANEL} {Q.WEIGHTED} {Q.leave_one_out()} {Q.REFIT_WEIGHTS} {Q.REPLICATE_ROWS}, jb AS (SELECT rep,
+      assigned_treatment AS i, sum(w * outcome) / sum(w) AS p FROM rr GROUP BY 1, 2),
+    jl AS (SELECT rep, i, ln(p / (1 - p)) AS b FROM jb), jm AS (SELECT i, avg(b) AS m FROM jl GROUP BY 1),
+    jd AS (SELECT rep, i, b - m AS d FROM jl JOIN jm USING (i)),
+    jc AS (SELECT x.i, y.i AS j, (count(*) - 1) / count(*) * sum(x.d * y.d) AS v FROM jd x JOIN jd y USING (rep) GROUP BY 1, 2)"""
+
+
 @query(
     "jackknife_covariance",
-    f"""WITH {Q.EVENT_PANEL} {Q.WEIGHTED} {Q.leave_one_out()} {Q.REFIT_WEIGHTS} {Q.REPLICATE_ROWS}, jb AS (SELECT rep,
-      'assigned_treatment=' || assigned_treatment AS term, sum(w * outcome) / sum(w) AS p FROM rr GROUP BY 1, 2),
-    jl AS (SELECT rep, term, ln(p / (1 - p)) AS b FROM jb), jm AS (SELECT term, avg(b) AS m FROM jl GROUP BY 1),
-    jd AS (SELECT rep, term, b - m AS d FROM jl JOIN jm USING (term))
-    SELECT x.term AS term_i, y.term AS term_j, round((count(*) - 1) / count(*) * sum(x.d * y.d), 5) AS value
-    FROM jd x JOIN jd y USING (rep) GROUP BY 1, 2""",
+    f"""{_ARM_FITS} SELECT 'assigned_treatment=' || i AS term_i, 'assigned_treatment=' || j AS term_j, round(v, 5) AS value FROM jc""",
 )
 def jackknife_covariance(spark, folder):
     """Covariance of the outcome coefficients over leave-one-out refits."""
-    a = TrialAnalysis(event_rows(spark, folder), replace(EVENT_PLAN, outcome=cell_terms(("assigned_treatment", (0, 1)))))
-    cov = a.jackknife().moments["jackknife"].jackknife()
-    return rounded(M.covariance_rows(spark, {"j": (a.fit.design, cov)}).drop("model"), 5)
+    with TrialAnalysis(event_rows(spark, folder), _ARMS) as a:
+        cov = a.jackknife().moments["jackknife"].jackknife()
+        return rounded(M.covariance_rows(spark, {"j": (a.fit.design, cov)}).drop("model"), 5)
 
 
-@query("jackknife_normal_limits")
+@query(
+    "jackknife_normal_limits",
+    f"""{_ARM_FITS}, ja AS (SELECT assigned_treatment AS i, sum(weight * outcome) / sum(weight) AS p FROM wpp GROUP BY 1)
+    {Q.normal_by(2, DRAWS, SEED, "SELECT i, j, v FROM jc", "SELECT i, ln(p / (1 - p)) AS m FROM ja")},
+    dm AS (SELECT rep, k::INTEGER AS followup_time, pow(1 - 1 / (1 + exp(-b[1])), k + 1) - pow(1 - 1 / (1 + exp(-b[2])), k + 1) AS mrd FROM drawn_b, range(3) r(k))
+    SELECT {_LIMITS} FROM dm GROUP BY 1""",
+)
 def jackknife_normal_limits(spark, folder):
-    with _events(spark, folder) as a:
-        return rounded(I.ci_jackknife_mvn(a, 100, SEED).drop("method"))
+    """Normal draws with the jackknife covariance, one hazard for each arm (a cell by visit may have no event)."""
+    with TrialAnalysis(event_rows(spark, folder), _ARMS) as a:
+        return rounded(I.ci_jackknife_mvn(a, DRAWS, SEED).drop("method"))
 
 
 _P = len(REGRESSION.outcome)
