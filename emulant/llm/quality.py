@@ -175,3 +175,13 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     word stay), base_failed and kept. A column of that name is replaced, all others pass through.
     """
     return docs.withColumn("quality", judged(F.col("text"), rules))
+
+
+def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``clean_lines`` that are kept.
+
+    The verdict is unpacked from a list of one, so that each text is judged once; a filter on a
+    computed column would be judged before and the column be made again after it.
+    """
+    one = F.explode_outer(F.array(judged(F.col("text"), rules))).alias("quality")
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"], one).filter("quality.kept")
