@@ -18,7 +18,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failed lines; n_chars is that of the cleaned text."""
-    cleaned = quality.clean_lines(docs).filter("quality.kept")
+    cleaned = quality.kept_documents(docs)
     new = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
     return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
