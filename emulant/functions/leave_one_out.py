@@ -350,7 +350,7 @@ class Solver:
         # What the weights' change does to the score and to the information.
         shift = u0 + theta @ bg.T + 0.5 * theta2 @ c1.T
         tilt2, tilt3 = _full(theta @ c2.T, n), _full(0.5 * theta2 @ d1.T, n)
-        bend3 = np.einsum("it,ptk->ipk", theta, d2.reshape(n, q, -1))
+        bend3 = np.einsum("it,ptk->ipk", theta, d2.reshape(n, q, n * (n + 1) // 2))
 
         def own(d):
             prob = _sigmoid((x * (b + d[owner])).sum(axis=1))

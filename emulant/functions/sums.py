@@ -24,7 +24,7 @@ def batch_of(sums: np.ndarray) -> pa.RecordBatch:
 
 def list_column(rows: np.ndarray) -> pa.ListArray:
     """Rows of a matrix as a list column."""
-    offsets = pa.array(np.arange(0, rows.size + 1, max(rows.shape[1], 1), dtype=np.int32)[: len(rows) + 1])
+    offsets = pa.array((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows, dtype=np.float64).ravel()))
 
 
