@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulant.operators.intervals import pivotal_limits
+from emulant.operators.joins import SMALL_ROWS, beside
 from emulant.operators.quantiles import quantile_table
+from emulant.spec import METHODS
 
 CELL = ("outcome", "scenario", "visit")
 METHOD_CELL = (*CELL, "method")
@@ -100,9 +102,11 @@ def coverage(
     pivot: Sequence[str] = (),
     closed: bool = True,
     shift: DataFrame | None = None,
+    bound: int = SMALL_ROWS,
 ) -> DataFrame:
     """Share of intervals that hold the target, among intervals that exist.
 
+    Targets are counted: up to ``bound`` they are broadcast, beyond it intervals are dealt out by iteration.
     ``pivot`` names methods whose limits are mirrored about the estimate first.
     ``shift`` is a table of biases (column ``bias_est``) added to the target.
     """
@@ -113,7 +117,7 @@ def coverage(
     hit = F.when(
         F.col("lb").isNotNull(), F.when(_inside(low, high, F.col("_truth"), closed), 1.0).otherwise(0.0)
     )
-    return ci.join(target.select(*on, "_truth"), list(on)).groupBy(*by).agg(
+    return beside(ci, target.select(*on, "_truth"), on, ["iter"], bound).groupBy(*by).agg(
         F.avg(hit).alias("coverage"), F.count("lb").alias("intervals")
     )
 
@@ -126,6 +130,7 @@ def coverage_simultaneous(
     on: Sequence[str] = CELL,
     truth_value: str = "mrd",
     closed: bool = False,
+    bound: int = SMALL_ROWS,
 ) -> DataFrame:
     """Share of iterations whose intervals hold the target at every visit.
 
@@ -134,7 +139,7 @@ def coverage_simultaneous(
     """
     target = _truth(truth, on, truth_value)
     ok = F.coalesce(_inside(F.col("lb"), F.col("ub"), F.col("_truth"), closed), F.lit(False))
-    per_iter = ci.join(target, list(on)).groupBy(*by, "iter").agg(
+    per_iter = beside(ci, target, on, ["iter"], bound).groupBy(*by, "iter").agg(
         F.min(ok.cast("int")).alias("_all"),
         F.max(F.when((F.col("visit") == last_visit) & F.col("lb").isNotNull(), 1).otherwise(0)).alias("_ok"),
     )
@@ -168,20 +173,26 @@ def failure_rate(
     iters: int | str,
     grid: DataFrame,
     by: Sequence[str] = ("outcome", "size", "treat", "method"),
-    jackknife_size: int = 200,
+    jackknife_size: int | None = 200,
+    methods: Sequence[str] = METHODS,
+    outcomes: Sequence[str] = (),
 ) -> DataFrame:
-    """Share of iterations without an interval at visit 0, averaged over scenarios.
+    """Share of planned iterations without an interval at visit 0, averaged over scenarios.
 
-    ``iters`` is the planned number of iterations, or a column of ``grid`` holding it.
-    Jackknife methods only exist for the smallest sample; elsewhere the rate is
-    NULL.
+    ``grid`` has a row for each planned scenario, and each of ``methods`` is planned for it (and each of
+    ``outcomes``, where ``grid`` doesn't name the outcome): a cell without any result has failed in all its
+    iterations. ``iters`` is the planned number of iterations, or a column of ``grid`` holding it. Jackknife methods
+    exist for samples of ``jackknife_size`` (None: all); elsewhere the rate is NULL.
     """
     total = F.lit(iters) if isinstance(iters, int) else F.col(iters)
+    planned = grid.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    if "outcome" not in grid.columns:
+        planned = planned.withColumn("outcome", F.explode(F.array(*[F.lit(o) for o in outcomes])))
     per = ci.filter("visit = 0").groupBy("outcome", "scenario", "method").agg(F.count("lb").alias("_ok"))
-    rate = (total - F.col("_ok")) / total
-    mean = per.join(grid, [c for c in ("outcome", "scenario") if c in grid.columns]).groupBy(*by).agg(
-        F.avg(rate).alias("_rate")
-    )
+    rate = (total - F.coalesce("_ok", F.lit(0))) / total
+    mean = planned.join(per, ["outcome", "scenario", "method"], "left").groupBy(*by).agg(F.avg(rate).alias("_rate"))
+    if jackknife_size is None:
+        return mean.withColumnRenamed("_rate", "failure_rate")
     absent = F.col("method").startswith("jackknife") & (F.col("size") != jackknife_size)
     return mean.select(*by, F.when(~absent, F.col("_rate")).alias("failure_rate"))
 

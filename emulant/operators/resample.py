@@ -83,17 +83,47 @@ def with_draws(persons: DataFrame, n: int, first: int, last: int, seed: int) ->
     return persons.mapInArrow(add, T.StructType([*persons.schema.fields, T.StructField("drawn", T.ArrayType(T.IntegerType()))]))
 
 
+def sparse_counts(ids: DataFrame, replicates: int, seed: int, id: str = "id") -> DataFrame:
+    """The draws of each person as one row: ``(id, drawn)``, the replicates that drew the person, once per draw.
+
+    About as long as the number of replicates, whatever the data, and empty for a person that is never drawn.
+    """
+    index = person_index(ids, id)
+    return with_draws(index, index.count(), 0, replicates, seed).select(id, "drawn")
+
+
+def pack_counts(counts: DataFrame, id: str = "id") -> DataFrame:
+    """Counts ``(rep, id, n)`` as one row per person: ``(id, drawn)``, as ``sparse_counts`` gives them."""
+    rows = counts.withColumn("rep", F.explode(F.array_repeat("rep", F.col("n").cast("int"))))
+    return rows.groupBy(id).agg(F.sort_array(F.collect_list("rep")).alias("drawn"))
+
+
+def count_in(drawn: Column, rep: Column) -> Column:
+    """How often a replicate is in a list of draws; 0 for a missing list."""
+    return F.coalesce(F.size(F.filter(drawn, lambda r: r == rep)), F.lit(0)).cast("bigint")
+
+
+def attach_draws(df: DataFrame, drawn: DataFrame, id: str = "id") -> DataFrame:
+    """Rows with the list ``drawn`` of their person: as many rows as before."""
+    return df.join(drawn, id, "left").withColumn("drawn", F.coalesce("drawn", F.array().cast("array<int>")))
+
+
+def unfold(df: DataFrame, replicates: int) -> DataFrame:
+    """Rows with a list ``drawn`` once for each replicate, with its count ``n``, 0 if not drawn.
+
+    This is rows times replicates; sums over replicates need no more than the list.
+    """
+    rep = F.explode(F.array(*[F.lit(r) for r in range(replicates)]).cast("array<int>"))
+    return df.withColumn("rep", rep).withColumn("n", count_in(F.col("drawn"), F.col("rep"))).drop("drawn")
+
+
 def attach_counts(df: DataFrame, counts: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
-    """Rows of every replicate with the count of their person, 0 if not drawn.
+    """Rows of every replicate in ``counts`` with the count of their person, 0 if not drawn.
 
-    Each person carries a map from replicate to count, bounded by the number of
-    replicates, so one join and one explode give the long form.
+    Each person carries its list of draws; rows are multiplied only here.
     """
-    reps = counts.select("rep").distinct()
-    drawn = counts.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("rep", "n"))).alias("_drawn"))
-    all_reps = reps.agg(F.sort_array(F.collect_list("rep"))).scalar()
-    long = df.join(drawn, id, "left").withColumn("rep", F.explode(all_reps))
-    return long.withColumn("n", F.coalesce(F.col("_drawn")[F.col("rep")], F.lit(0))).drop("_drawn")
+    replicates = counts.agg(F.max("rep")).first()[0]
+    return unfold(attach_draws(df, pack_counts(counts, id), id), 0 if replicates is None else replicates + 1)
 
 
 def bootstrap_rows(df: DataFrame, counts: DataFrame, id: str = "id") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from emulant.session import written
 
 
 def count_by(df: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -13,24 +17,46 @@ def count_by(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"))
 
 
-def crosstab_full(df: DataFrame, dims: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+def _dictionary(counts: DataFrame, dim: str, levels: Sequence | None, most: int) -> DataFrame:
+    """(_i, ``dim``) of the levels of a dimension, numbered from 0; refused beyond ``most``."""
+    spark, kind = counts.sparkSession, counts.schema[dim].dataType
+    if levels is not None:
+        schema = T.StructType([T.StructField("_i", T.LongType()), T.StructField(dim, kind)])
+        return spark.createDataFrame(list(enumerate(levels)), schema)
+    found = written(counts.select(dim).distinct(), "levels")
+    if (n := found.count()) > most:
+        raise ValueError(f"{dim} has {n} levels, more than {most}: not a category")
+    # One task numbers at most ``most`` levels.
+    return found.withColumn("_i", F.row_number().over(Window.orderBy(dim)) - F.lit(1).cast("long"))
+
+
+def crosstab_full(
+    df: DataFrame,
+    dims: Sequence[str],
+    levels: Mapping[str, Sequence] | None = None,
+    most_levels: int = 100_000,
+    most_cells: int = 100_000_000,
+) -> DataFrame:
     """Counts of every combination of the levels that occur, zeros included.
 
     The table is counted once; levels and cells then come from the counts. Rows with
     a missing level are left out. The result has as many rows as the product of
-    the numbers of levels, so the dimensions have to be categories.
+    the numbers of levels. That product is known before a cell is made: beyond ``most_cells``, or with a
+    dimension of more than ``most_levels`` levels, the table is refused. Cells are numbers that tasks
+    unfold on their own, digit by digit; no row holds all levels of a dimension.
     """
     dims = list(dims)
-    counts = count_by(df.dropna(subset=dims), dims)
-    sets = counts.agg(
-        *[
-            (F.array(*[F.lit(v) for v in levels[d]]) if levels and d in levels else F.collect_set(d)).alias(d)
-            for d in dims
-        ]
-    )
-    cells = sets
-    for d in dims:
-        cells = cells.withColumn(d, F.explode(d))
+    counts = written(count_by(df.dropna(subset=dims), dims), "counts")
+    dictionaries = [_dictionary(counts, d, levels.get(d) if levels else None, most_levels) for d in dims]
+    sizes = [d.count() for d in dictionaries]
+    product = math.prod(sizes)
+    if product > most_cells:
+        raise ValueError(f"{' x '.join(map(str, sizes))} cells are more than {most_cells}")
+    cells, stride = df.sparkSession.range(product).withColumnRenamed("id", "_cell"), 1
+    for dim, size, names in reversed(list(zip(dims, sizes, dictionaries))):
+        digit = F.expr(f"(_cell div {stride}L) % {size}L")
+        cells = cells.withColumn("_i", digit).join(F.broadcast(names), "_i").drop("_i")  # most_levels rows at most
+        stride *= max(size, 1)
     return cells.join(counts, dims, "left").select(*dims, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

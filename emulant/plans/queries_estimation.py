@@ -232,12 +232,27 @@ def weighted_trials(spark, folder):
     round(CASE WHEN n <> 0 THEN weight * n ELSE 0 END, 6) AS weight FROM wpp JOIN counts USING (id)""",
 )
 def resample_weights(spark, folder):
+    """Weights times counts of three replicates; persons carry their draws until rows are asked for."""
     rows = weighted_rows(spark, folder)
-    counts = R.bootstrap_counts(rows, 3, 7)
-    out = R.attach_counts(rows, counts, rows).withColumn("weight", W.resample_weight(F.col("weight"), F.col("n")))
+    carried = R.attach_draws(rows, R.sparse_counts(rows, 3, 7))
+    out = R.unfold(carried, 3).withColumn("weight", W.resample_weight(F.col("weight"), F.col("n")))
     return rounded(out.select("rep", "id", "trial_period", "followup_time", "n", "weight"))
 
 
+@query(
+    "resampled_weight_totals",
+    f"""{_WEIGHTED} {Q.draws(50, 7)} SELECT rep, round(sum(weight * n), 4) AS total, round(sum(weight * n * outcome) / sum(weight * n), 6) AS event_share
+    FROM wpp JOIN counts USING (id) GROUP BY 1""",
+)
+def resampled_weight_totals(spark, folder):
+    """Sums over fifty replicates from the lists of draws: a row meets only the replicates that drew its person."""
+    rows = weighted_rows(spark, folder).select("id", "outcome", "weight")
+    met = R.attach_draws(rows, R.sparse_counts(rows, 50, 7)).withColumn("rep", F.explode("drawn"))
+    w = F.sum("weight")
+    out = met.groupBy("rep").agg(w.alias("total"), (F.sum(F.col("weight") * F.col("outcome")) / w).alias("event_share"))
+    return out.select("rep", F.round("total", 4).alias("total"), F.round("event_share", 6).alias("event_share"))
+
+
 @query(
     "merged_replicate_weights",
     f"""{_CUM} {Q.TRIALS} {Q.draws(1, 7)}, c AS (SELECT id, n FROM drawn) SELECT pp.id, trial_period, followup_time, 1.0::DOUBLE AS old_weight,

@@ -164,3 +164,45 @@ def test_jackknife_wald_by_hand(spark):
     assert r["ub"] - r["est"] == pytest.approx(1.96 * r["se"])
     r = I.jackknife_wald_ci(reps, est, "mean").first()
     assert r["se"] == pytest.approx(np.sqrt(2 / 3 * 0.02))
+
+
+def test_cells_are_counted_before_they_are_made(spark):
+    df = spark.createDataFrame([(i, i % 50) for i in range(400)], "x int, y int")
+    with pytest.raises(ValueError, match="400 x 50 cells"):
+        B.crosstab_full(df, ["x", "y"], most_cells=10_000)
+    with pytest.raises(ValueError, match="x has 400 levels"):
+        B.crosstab_full(df, ["x", "y"], most_levels=100)
+    out = B.crosstab_full(df, ["x", "y"])
+    assert out.count() == 20_000 and out.agg(F.sum("n")).first()[0] == 400
+    assert B.crosstab_full(df.limit(0), ["x", "y"]).count() == 0
+
+
+def test_coverage_is_the_same_broadcast_and_salted(spark):
+    rows = [("low", 1, i, v, "m", 0.0, -1.0 + i / 50, 1.0) for i in range(100) for v in (0, 1)]
+    ci = spark.createDataFrame(rows, "outcome string, scenario int, iter long, visit int, method string, est double, lb double, ub double")
+    truth = spark.createDataFrame([("low", 1, 0, 0.1), ("low", 1, 1, 0.4)], "outcome string, scenario int, visit int, mrd double")
+    near, far = V.coverage(ci, truth), V.coverage(ci, truth, bound=0)
+    assert near.exceptAll(far).isEmpty() and near.count() == far.count() == 2
+    assert "hashpartitioning(outcome" not in near._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[1].split("HashAggregate")[0]
+
+
+def test_a_cell_without_results_has_failed(spark):
+    ci = spark.createDataFrame([("low", 1, 0, "bootstrap", 0.1), ("low", 1, 0, "bootstrap", None)], "outcome string, scenario int, visit int, method string, lb double")
+    grid = spark.createDataFrame([(1, 200, 0, 4), (2, 1000, 0, 4)], "scenario int, size int, treat int, iters int")
+    by = ("outcome", "size", "method")
+    kw = {"methods": ["bootstrap", "jackknife_wald"], "outcomes": ["low"]}
+    got = {(r["size"], r["method"]): r["failure_rate"] for r in V.failure_rate(ci, "iters", grid, by, **kw).collect()}
+    assert got == {(200, "bootstrap"): 0.75, (1000, "bootstrap"): 1.0, (200, "jackknife_wald"): 1.0, (1000, "jackknife_wald"): None}
+    free = V.failure_rate(ci, "iters", grid, by, None, **kw)
+    assert {(r["size"], r["method"]): r["failure_rate"] for r in free.collect()}[1000, "jackknife_wald"] == 1.0
+
+
+def test_draws_are_carried_and_unfolded(spark):
+    ids = spark.range(300)
+    carried = R.sparse_counts(ids, 4, 9)
+    assert carried.count() == 300
+    counts = R.bootstrap_counts(ids, 4, 9)
+    long = R.unfold(R.attach_draws(ids, carried), 4)
+    assert long.count() == 1200 and long.filter("n > 0").select("rep", "id", "n").exceptAll(counts).isEmpty()
+    packed = R.pack_counts(counts).join(carried.withColumnRenamed("drawn", "d"), "id")
+    assert packed.filter(F.sort_array("d") != F.col("drawn")).isEmpty()
