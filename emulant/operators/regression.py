@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emulant.functions import kernel
 from emulant.functions.design import Design
 from emulant.functions.sums import add_partitions, list_matrix
-from emulant.session import keep
+from emulant.session import keep, written
 
 COEFFICIENT_SCHEMA = "model string, term string, estimate double, std_error double"
 COVARIANCE_SCHEMA = "model string, term_i string, term_j string, value double"
@@ -187,6 +188,108 @@ def fit_logit(
     return fit_models(df, {"model": spec}, tol, max_iter)["model"]
 
 
+def fit_groups(
+    df: DataFrame,
+    by: Sequence[str],
+    design: Design,
+    y: str | Column,
+    weight: str | Column | None = None,
+    tol: float = 1e-10,
+    max_iter: int = 30,
+    most: int = 10_000,
+) -> GroupFits:
+    """One weighted logistic regression for each group of ``by``, all groups in the same passes.
+
+    A pass adds up the sums of every group that hasn't settled, at the group's own coefficients: a task's
+    rows are summed by group first, and only sums are shuffled, so that a group may hold any share of the rows. The
+    driver holds groups x terms; more than ``most`` groups are refused. Rows with a missing value or without
+    weight are left out; a group of such rows alone has no coefficients.
+    """
+    by, spark = list(by), df.sparkSession
+    w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    response = F.col(y) if isinstance(y, str) else y
+    names = written(df.select(*by).distinct(), "groups")
+    count = names.count()
+    if count > most:
+        raise ValueError(f"{count} groups are more than {most}")
+    names = names.withColumn("_g", F.row_number().over(Window.orderBy(*by)) - 1)  # ``most`` rows at most
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    known = names.select("_g", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)])
+    rows = df.join(F.broadcast(known), same).select("_g", design.vector().alias("x"), response.cast("double").alias("y"), w.cast("double").alias("w"))
+    rows = keep(rows)
+    state = kernel.Newton(len(design), count, tol, max_iter, tuple(design.names))
+    try:
+        while len(state.active):
+            sums = add_partitions(rows, len(state.active), kernel.width(state.p), _group_sums(state.active, state.coef, count))
+            state.update(sums)
+    finally:
+        rows.unpersist()
+    levels = [tuple(r[c] for c in by) for r in names.orderBy("_g").collect()]
+    return GroupFits(by, [names.schema[c] for c in by], design, levels, state)
+
+
+def _group_sums(active: np.ndarray, coef: np.ndarray, count: int):
+    place = np.full(count, -1)
+    place[active] = np.arange(len(active))
+    p = len(coef)
+
+    def run(batches):
+        out = None
+        for batch in batches:
+            if out is None:
+                out = np.zeros((len(active), kernel.width(p)))
+            g = batch.column("_g").to_numpy()
+            x = list_matrix(batch.column("x"), p)
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
+            use = np.flatnonzero((place[g] >= 0) & (w > 0) & np.isfinite(y) & np.isfinite(x).all(axis=1))
+            use = use[np.argsort(g[use], kind="stable")]
+            for part in np.split(use, np.flatnonzero(np.diff(g[use])) + 1):
+                if len(part):
+                    b = coef[:, g[part[0]]][:, None]
+                    out[place[g[part[0]]]] += kernel.logistic_sums(x[part], y[part], w[part, None], b)[0]
+        return out
+
+    return run
+
+
+@dataclass
+class GroupFits:
+    """Fits of ``fit_groups``; the k-th of ``levels`` has the k-th coefficients of ``state``."""
+
+    by: list[str]
+    fields: list[T.StructField]
+    design: Design
+    levels: list[tuple]
+    state: kernel.Newton
+
+    def fit(self, level: tuple) -> LogitFit:
+        """The fit of one group."""
+        k, s = self.levels.index(level), self.state
+        kept = s.keep[:, k]
+        return LogitFit(
+            self.design,
+            np.where(kept, s.coef[:, k], np.nan),
+            kernel.inverse_on(s.gram[k], kept),
+            float(s.tail[k, 0]),
+            float(s.tail[k, 1]),
+            float(s.tail[k, 2]),
+            int(s.tail[k, 3]),
+            int(s.fit_passes[k]),
+            bool(s.converged[k]),
+        )
+
+    def tidy(self, spark: SparkSession) -> DataFrame:
+        """Rows (``by``, term, estimate, std_error, n, separated, converged); no numbers where a group is separated."""
+        rows = []
+        for k, level in enumerate(self.levels):
+            fit, separated = self.fit(level), bool(self.state.separated[k])
+            for name, b, e in zip(self.design.names, fit.coef, fit.std_error):
+                numbers = (None, None) if separated else (_nullable(b), _nullable(e))
+                rows.append((*level, name, *numbers, fit.n, separated, fit.converged))
+        tail = "term string, estimate double, std_error double, n bigint, separated boolean, converged boolean"
+        return spark.createDataFrame(rows, T.StructType([*self.fields, *T._parse_datatype_string(tail).fields]))
+
+
 def linear_predictor(fit: LogitFit, fixed: Mapping[str, float] | None = None) -> Column:
     """The linear predictor as a column expression.
 

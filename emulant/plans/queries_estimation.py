@@ -425,6 +425,43 @@ def outcome_regression_linear_time(spark, folder):
     return rounded(M.tidy(spark, {"outcome": fit}), 5)
 
 
+_SCENARIO = Design.of("X2", "X4", "assigned_treatment")
+_SCENARIO_ROWS = f"""WITH {Q.PANEL} {Q.TRIALS}, sc AS (SELECT *, (id % 27 + 1)::INTEGER AS scenario FROM pp)"""
+
+
+def _scenarios(spark, folder):
+    return trial_rows(spark, folder).withColumn("scenario", (F.col("id") % 27 + 1).cast("int"))
+
+
+@query(
+    "scenario_regressions",
+    f"""{_SCENARIO_ROWS} {Q.logit("sf", f"SELECT scenario AS g, {Q.design_list(_SCENARIO)} AS x, outcome AS y, 1.0 AS w FROM sc", len(_SCENARIO))},
+    sn AS (SELECT scenario AS g, count(*) AS n FROM sc GROUP BY 1)
+    SELECT g AS scenario, term, round(b[i + 1], 5) AS estimate, round(sqrt(cov[i + 1][i + 1]), 5) AS std_error, n, false AS separated, true AS converged
+    FROM sf JOIN sn USING (g), (VALUES (0, '(Intercept)'), (1, 'X2'), (2, 'X4'), (3, 'assigned_treatment')) t(i, term)""",
+)
+def scenario_regressions(spark, folder):
+    """Outcome models of all 27 scenarios in the same passes."""
+    return rounded(M.fit_groups(_scenarios(spark, folder), ["scenario"], _SCENARIO, "outcome").tidy(spark), 5)
+
+
+_SCENARIO_CELLS = cell_terms(("assigned_treatment", (0, 1)))
+
+
+@query(
+    "scenario_visit_hazards",
+    f"""{_SCENARIO_ROWS}, c AS (SELECT scenario, followup_time, assigned_treatment AS a, count(*) AS n, avg(outcome) AS p FROM sc GROUP BY ALL),
+    k AS (SELECT scenario, followup_time, sum(n)::BIGINT AS n, bool_or(p = 0 OR p = 1) AS separated FROM c GROUP BY ALL),
+    x AS (SELECT k.*, a.a, c.p, c.n AS own FROM k CROSS JOIN range(2) a(a) LEFT JOIN c ON c.scenario = k.scenario AND c.followup_time = k.followup_time AND c.a = a.a)
+    SELECT scenario, followup_time, 'assigned_treatment=' || a AS term, CASE WHEN NOT separated THEN round(ln(p / (1 - p)), 5) END AS estimate,
+      CASE WHEN NOT separated THEN round(1 / sqrt(own * p * (1 - p)), 5) END AS std_error, n, separated, true AS converged FROM x""",
+)
+def scenario_visit_hazards(spark, folder):
+    """Hazard of each arm by scenario and visit, 135 groups at once; arms without events are told as separated."""
+    fits = M.fit_groups(_scenarios(spark, folder), ["scenario", "followup_time"], _SCENARIO_CELLS, "outcome")
+    return rounded(fits.tidy(spark), 5)
+
+
 @query(
     "fit_statistics",
     f"""WITH {Q.PANEL}, m AS (SELECT Ap, c_mktsegment, avg(A) AS p, count(*) AS n FROM panel GROUP BY 1, 2),

@@ -399,3 +399,25 @@ def test_intention_to_treat_is_not_weighted(spark):
 def test_missing_level_is_missing():
     x = Level("g", 1.0).numpy({"g": np.array([1.0, 0.0, np.nan])})
     assert x[0] == 1 and x[1] == 0 and np.isnan(x[2])
+
+
+def test_groups_in_shared_passes_equal_single_fits(spark, order_panel):
+    """All groups at once, a hot one and one with a missing name among them, against a fit of each."""
+    rows = order_panel.withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise(F.when(F.col("id") % 7 == 1, 1).otherwise(0)))
+    fits = M.fit_groups(rows, ["g"], Design.of("X2", "X4"), "A")
+    assert fits.levels == [(None,), (0,), (1,)]
+    for level in fits.levels:
+        alone = M.fit_logit(rows.filter(F.col("g").eqNullSafe(F.lit(level[0]))), Design.of("X2", "X4"), "A")
+        got = fits.fit(level)
+        assert np.allclose(got.coef, alone.coef, atol=1e-9) and np.allclose(got.vcov, alone.vcov, atol=1e-9) and got.n == alone.n
+    with pytest.raises(ValueError, match="groups are more than 2"):
+        M.fit_groups(rows, ["g"], Design.of("X2"), "A", most=2)
+
+
+def test_separated_groups_have_no_numbers(spark):
+    rows = [(g, i % 2, int(i % 4 == 1) if g == 0 else i % 2) for g in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, x int, y int")
+    got = {(r["g"], r["term"]): r for r in M.fit_groups(df, ["g"], Design.of("x"), "y").tidy(spark).collect()}
+    assert got[1, "x"]["separated"] and got[1, "x"]["estimate"] is None
+    zero = got[0, "x"]
+    assert zero["separated"] and zero["estimate"] is None  # no event where x is 0
