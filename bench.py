@@ -53,6 +53,7 @@ def main() -> None:
                 f"{method}_{reps}",
                 lambda m=method: intervals.percentile_ci(a.bootstrap(reps, 1, (m,)).curves).collect(),
             )
+        clock("jackknife", lambda: intervals.ci_jackknife(a).collect())
         clock("sandwich_500_draws", lambda: intervals.ci_sandwich(a, 500, 1).collect())
     ci = adapters.interval_results(spark, folder)
     truth = adapters.scenario_truth(spark, folder)

@@ -287,7 +287,7 @@ class GroupFits:
                 numbers = (None, None) if separated else (_nullable(b), _nullable(e))
                 rows.append((*level, name, *numbers, fit.n, separated, fit.converged))
         tail = "term string, estimate double, std_error double, n bigint, separated boolean, converged boolean"
-        return spark.createDataFrame(rows, T.StructType([*self.fields, *T._parse_datatype_string(tail).fields]))
+        return spark.createDataFrame(rows, T.StructType([*self.fields, *T.StructType.fromDDL(tail).fields]))
 
 
 def linear_predictor(fit: LogitFit, fixed: Mapping[str, float] | None = None) -> Column:
