@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,6 +130,29 @@ def marginal_curves(
     return mean_curves(long, count="_n" if count else None, normalise=normalise)
 
 
+def strategy_curves(
+    expanded: DataFrame,
+    fit: LogitFit,
+    strategies: Mapping[str, Sequence[float]],
+    trials: Sequence[int] | None = (0,),
+    treatment: str = "treatment",
+) -> DataFrame:
+    """Mean survival per visit under strategies that set the treatment visit by visit: (strategy, followup_time, survival).
+
+    For models whose terms follow the treatment of a row, as in an as-treated analysis. As in
+    ``marginal_curves`` a baseline row computes its own curves, and only sums per visit are shuffled.
+    """
+    points = []
+    for name, path in strategies.items():
+        alive = F.lit(1.0)
+        for k, value in enumerate(path):
+            alive = alive * (F.lit(1.0) - predict(fit, {treatment: value, "followup_time": k}))
+            points.append(F.struct(F.lit(name).alias("strategy"), F.lit(k).alias("followup_time"), F.lit(len(path)).alias("_k"), alive.alias("_s")))
+    rows = baselines(expanded, trials).select("trial_period", F.inline(F.array(*points)))
+    inside = rows.filter(F.col("followup_time") < F.col("_k") - F.col("trial_period"))
+    return inside.groupBy("strategy", "followup_time").agg(F.avg("_s").alias("survival"))
+
+
 def km(df: DataFrame, by: Sequence[str] = (), id: str = "id", time: str = "t", status: str = "Y") -> DataFrame:
     """Kaplan-Meier curve from the last row of each person.
 

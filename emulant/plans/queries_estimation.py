@@ -660,6 +660,55 @@ def intention_to_treat_curve(spark, folder):
     return rounded(G.marginal_curves(rows, M.fit_logit(rows, OUTCOME_CELLS, "outcome"), VISITS))
 
 
+_TREATED_CELLS = cell_terms(("treatment", (0, 1)), ("followup_time", range(VISITS)))
+_TREATED = f"""WITH {Q.PANEL} {Q.TRIALS}, tc AS (SELECT treatment, followup_time, count(*) AS n, avg(outcome) AS p FROM itt GROUP BY 1, 2)"""
+#: Always, never, and treated at the first two visits only.
+STRATEGIES = {"always": (1, 1, 1, 1, 1), "never": (0, 0, 0, 0, 0), "two visits": (1, 1, 0, 0, 0)}
+
+
+@query(
+    "as_treated_model",
+    f"""{_TREATED} SELECT 'treatment=' || treatment || ':followup_time=' || followup_time AS term, round(ln(p / (1 - p)), 5) AS estimate,
+    round(1 / sqrt(n * p * (1 - p)), 5) AS std_error FROM tc""",
+)
+def as_treated_model(spark, folder):
+    """Outcome model whose treatment follows each row, persons kept in the trial whatever they take."""
+    fit = M.fit_logit(trial_rows(spark, folder, "AT"), _TREATED_CELLS, "outcome")
+    return rounded(M.tidy(spark, {"outcome": fit}).drop("model"), 5)
+
+
+@query(
+    "as_treated_curves",
+    f"""{_TREATED}, st AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {k}, {v})" for n, path in STRATEGIES.items() for k, v in enumerate(path))})
+      v(strategy, followup_time, treatment))
+    SELECT strategy, followup_time, round(product(1 - p) OVER (PARTITION BY strategy ORDER BY followup_time), 6) AS survival
+    FROM st JOIN tc USING (treatment, followup_time)""",
+)
+def as_treated_curves(spark, folder):
+    """Survival under strategies that set the treatment visit by visit."""
+    rows = trial_rows(spark, folder, "AT")
+    return rounded(G.strategy_curves(rows, M.fit_logit(rows, _TREATED_CELLS, "outcome"), STRATEGIES))
+
+
+_AT_DESIGN = Design.of("X2", "X4", "treatment", "followup_time", ("treatment", "followup_time"))
+
+
+@query(
+    "as_treated_regression_curves",
+    f"""WITH {Q.PANEL} {Q.TRIALS} {Q.logit("oc", f"SELECT 0 AS g, {Q.design_list(_AT_DESIGN)} AS x, outcome AS y, 1.0 AS w FROM itt", len(_AT_DESIGN))},
+    st AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {k}, {v})" for n, path in STRATEGIES.items() for k, v in enumerate(path))})
+      v(strategy, followup_time, treatment)),
+    hz AS (SELECT id, strategy, followup_time, 1 - 1 / (1 + exp(-list_dot_product({Q.design_list(_AT_DESIGN)}, oc.b))) AS s
+      FROM (SELECT p.id, p.X2, p.X4, st.* FROM pp p, st WHERE p.trial_period = 0 AND p.followup_time = 0), oc),
+    al AS (SELECT *, product(s) OVER (PARTITION BY id, strategy ORDER BY followup_time) AS alive FROM hz)
+    SELECT strategy, followup_time, round(avg(alive), 6) AS survival FROM al GROUP BY 1, 2""",
+)
+def as_treated_regression_curves(spark, folder):
+    """The same with a design of continuous covariates, standardised over the persons of the first trial."""
+    rows = trial_rows(spark, folder, "AT")
+    return rounded(G.strategy_curves(rows, M.fit_logit(rows, _AT_DESIGN, "outcome"), STRATEGIES))
+
+
 _ITT_PLAN = replace(SATURATED, estimand="ITT")
 _ITT = f"WITH {Q.PANEL} {Q.TRIALS}, wpp AS (SELECT *, 1.0 AS weight FROM itt) {Q.CELLS} {Q.draws(REPLICATES, SEED, 'itt')}"
 

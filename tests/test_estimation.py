@@ -421,3 +421,11 @@ def test_separated_groups_have_no_numbers(spark):
     assert got[1, "x"]["separated"] and got[1, "x"]["estimate"] is None
     zero = got[0, "x"]
     assert zero["separated"] and zero["estimate"] is None  # no event where x is 0
+
+
+def test_constant_strategies_are_the_marginal_curves(analysis):
+    paths = {"survival_treatment": (1,) * 5, "survival_control": (0,) * 5}
+    for trials in ((0,), None):
+        got = G.strategy_curves(analysis.expanded, analysis.fit, paths, trials, "assigned_treatment").collect()
+        want = {r["followup_time"]: r for r in G.marginal_curves(analysis.expanded, analysis.fit, 5, trials).collect()}
+        assert len(got) == 10 and all(r["survival"] == pytest.approx(want[r["followup_time"]][r["strategy"]], abs=1e-12) for r in got)
