@@ -837,6 +837,30 @@ def one_step_both_replicates(spark, folder):
     return rounded(reps.drop("method", *STATUS))
 
 
+_DROPOUT_PLAN = replace(SATURATED, spec=_CENSOR_SPEC, weights=W.WeightDesigns(SEGMENT_CELLS, censor_d=SEGMENT_CELLS))
+_DROPOUT = f"WITH {Q.CENSORED} {Q.WEIGHTED_DROPOUT} {Q.CELLS} {Q.draws(REPLICATES, SEED)}"
+
+
+@query(
+    "bootstrap_with_dropout",
+    f"{_DROPOUT} {Q.REFIT_WEIGHTS_DROPOUT} {Q.REPLICATE_ROWS} {Q.REFIT_CELLS} {Q.REPLICATE_CURVES} SELECT rep, {_CURVE_COLUMNS} FROM reps",
+)
+def bootstrap_with_dropout(spark, folder):
+    """Direct bootstrap replicates, switch and drop-out models refitted in each."""
+    with TrialAnalysis(censored_panel(spark, folder), _DROPOUT_PLAN) as a:
+        return rounded(a.bootstrap(REPLICATES, SEED, ("bootstrap",)).curves.drop("method", *STATUS))
+
+
+@query(
+    "one_step_both_with_dropout",
+    f"{_DROPOUT} {Q.STEP_WEIGHTS_DROPOUT} {Q.REPLICATE_ROWS} {Q.STEP_CELLS} {Q.REPLICATE_CURVES} SELECT rep, {_CURVE_COLUMNS} FROM reps",
+)
+def one_step_both_with_dropout(spark, folder):
+    """One step for switch, drop-out and outcome models."""
+    with TrialAnalysis(censored_panel(spark, folder), _DROPOUT_PLAN) as a:
+        return rounded(a.bootstrap(REPLICATES, SEED, ("lef_both",)).curves.drop("method", *STATUS))
+
+
 @query("bootstrap_percentile_limits", f"{_DIRECT} SELECT {_LIMITS} FROM reps GROUP BY 1")
 def bootstrap_percentile_limits(spark, folder):
     with TrialAnalysis(panel(spark, folder), SATURATED) as a:

@@ -119,6 +119,34 @@ rv AS (SELECT * EXCLUDE (pd, pn), 1 / (1 + exp(-bd)) AS pd, 1 / (1 + exp(-bn)) A
 rw AS (SELECT *, CASE WHEN A = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END AS wt FROM rv),
 rc AS (SELECT *, product(wt) OVER (PARTITION BY rep, id ORDER BY t) AS cum_weight FROM rw)"""
 
+# The same with drop-out models by stratum.
+REFIT_WEIGHTS_DROPOUT = """,
+rm AS (SELECT p.*, k.rep, k.n,
+    sum(k.n * p.A) OVER d / nullif(sum(k.n) OVER d, 0) AS pd, sum(k.n * p.A) OVER a / nullif(sum(k.n) OVER a, 0) AS pn,
+    sum(k.n * (1 - p.C)) OVER d / nullif(sum(k.n) OVER d, 0) AS cd, sum(k.n * (1 - p.C)) OVER a / nullif(sum(k.n) OVER a, 0) AS cn
+  FROM panel p JOIN counts k USING (id) WINDOW d AS (PARTITION BY k.rep, p.Ap, p.c_mktsegment), a AS (PARTITION BY k.rep, p.Ap)),
+rv AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN A = 1 THEN pn / pd * cn / cd ELSE (1 - pn) / (1 - pd) * cn / cd END AS wt FROM rm),
+rc AS (SELECT *, product(wt) OVER (PARTITION BY rep, id ORDER BY t) AS cum_weight FROM rv)"""
+
+WEIGHTED_DROPOUT = TRIALS + """,
+wm AS (SELECT *, avg(A) OVER d AS pd, avg(A) OVER a AS pn, avg(1 - C) OVER d AS cd, avg(1 - C) OVER a AS cn FROM panel
+  WINDOW d AS (PARTITION BY Ap, c_mktsegment), a AS (PARTITION BY Ap)),
+wv AS (SELECT *, CASE WHEN A = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END * cn / cd AS wt FROM wm),
+cw AS (SELECT *, product(wt) OVER (PARTITION BY id ORDER BY t) AS cum_weight FROM wv),
+wpp AS (SELECT pp.*, a.cum_weight / b.cum_weight AS weight FROM pp
+  JOIN cw a ON a.id = pp.id AND a.t = pp.now JOIN cw b ON b.id = pp.id AND b.t = pp.trial_period)"""
+
+STEP_WEIGHTS_DROPOUT = """,
+f1 AS (SELECT w.* EXCLUDE (wt), k.rep, k.n FROM wv w JOIN counts k USING (id)),
+f2 AS (SELECT *, ln(pd / (1 - pd)) + sum(n * (A - pd)) OVER sd / sum(pd * (1 - pd)) OVER sd AS bd,
+    ln(pn / (1 - pn)) + sum(n * (A - pn)) OVER sn / sum(pn * (1 - pn)) OVER sn AS bn,
+    ln(cd / (1 - cd)) + sum(n * (1 - C - cd)) OVER sd / sum(cd * (1 - cd)) OVER sd AS bcd,
+    ln(cn / (1 - cn)) + sum(n * (1 - C - cn)) OVER sn / sum(cn * (1 - cn)) OVER sn AS bcn FROM f1
+  WINDOW sd AS (PARTITION BY rep, Ap, c_mktsegment), sn AS (PARTITION BY rep, Ap)),
+rv AS (SELECT * EXCLUDE (pd, pn, cd, cn), 1 / (1 + exp(-bd)) AS pd, 1 / (1 + exp(-bn)) AS pn, 1 / (1 + exp(-bcd)) AS cd, 1 / (1 + exp(-bcn)) AS cn FROM f2),
+rw AS (SELECT *, CASE WHEN A = 1 THEN pn / pd ELSE (1 - pn) / (1 - pd) END * cn / cd AS wt FROM rv),
+rc AS (SELECT *, product(wt) OVER (PARTITION BY rep, id ORDER BY t) AS cum_weight FROM rw)"""
+
 REPLICATE_ROWS = """,
 rr AS (SELECT a.rep, a.n, pp.*, CASE WHEN a.n = 0 THEN 0 ELSE a.n * a.cum_weight / b.cum_weight END AS w
   FROM pp JOIN rc a ON a.id = pp.id AND a.t = pp.now
