@@ -293,3 +293,49 @@ def test_pipeline_stages(spark, edge, none, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, edge, str(tmp_path)).count() >= 0 and stage(spark, none, str(tmp_path)).count() == 0
     assert re.match(r"\[\('quality rules'", repr(corpus_pipeline.STAGES))
+
+
+def test_kept_documents_are_those_of_a_filter(spark, edge, none):
+    """Judged once, and by a filter on the result: the same rows, whatever the other columns are called."""
+    docs = edge.withColumn("quality", F.lit(1))
+    want = quality.clean_lines(docs).filter("quality.kept")
+    got = quality.kept_documents(docs)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns and got.count() == want.count() > 0
+    assert got.select(columns).exceptAll(want.select(columns)).isEmpty()
+    assert quality.kept_documents(none).count() == 0
+
+
+def test_frequent_shingles_do_not_depend_on_pieces(spark, monkeypatch):
+    rng = random.Random(7)
+    common = " ".join(f"c{k}" for k in range(12))
+    docs = spark.createDataFrame([(f"{t} {common}" if rng.random() < 0.3 else t,) for t in texts(300, 8, 60)], "text string")
+    known, n = neardup.frequent_shingles(docs, 0.05)
+    want = sorted(map(tuple, known.collect()))
+    monkeypatch.setattr(neardup, "PIECE_SHINGLES", 500)
+    again, m = neardup.frequent_shingles(docs, 0.05)
+    assert sorted(map(tuple, again.collect())) == want and len(want) == 8 and n == m == 300
+
+
+def test_windows_without_key_words_hold_no_leak():
+    """The bound by key words against the search with every window projected."""
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(size)) + ".") for k, size in enumerate([6, 10, 16, 20, 33, 40, 50, 59] * 3)]
+    docs = []
+    for k, text in items:
+        lines = text.split()
+        kept = [w for w in lines if rng.random() < 0.75]
+        docs.append(" ".join([f"x{rng.randrange(900)}" for _ in range(rng.randrange(30))] + kept + [f"w{rng.randrange(60)}" for _ in range(40)]))
+    gen = np.random.default_rng(1)
+    idf = gen.uniform(0.5, 5, leaks.FEATURES).astype(np.float32)
+    basis = np.linalg.qr(gen.standard_normal((leaks.FEATURES, leaks.RANK)))[0].astype(np.float32) * idf[:, None]
+    bound = leaks.Items([i for i, _ in items], [t for _, t in items], basis, idf)
+    every = leaks.Items([i for i, _ in items], [t for _, t in items], basis, idf)
+    for keys in every.keys.values():
+        keys[:] = True
+    chunk = next(iter(words.word_chunks(leaks._lower(pa.array(docs)))))
+    found = leaks._search(chunk, basis, bound)
+    assert {r: {k: h[1:] for k, h in hits.items()} for r, hits in found.items()} == {
+        r: {k: h[1:] for k, h in hits.items()} for r, hits in leaks._search(chunk, basis, every).items()
+    }
+    assert len(found) > 5
