@@ -1091,3 +1091,17 @@ def all_bootstrap_limits_regression(spark, folder):
     """Three bootstrap methods on the same draws, regression designs."""
     with TrialAnalysis(panel(spark, folder), REGRESSION) as a:
         return rounded(I.percentile_ci(a.bootstrap(REPLICATES, SEED).curves))
+
+
+@query(
+    "sandwich_limits_of_all_measures",
+    f"""{_REGRESSION} {Q.robust_by(REGRESSION.outcome)}
+    {Q.normal_by(_P, DRAWS, SEED, "SELECT i, j, v FROM rv", f"SELECT i, b[i + 1] AS m FROM oc, range({_P}) r(i)")}
+    {Q.curves_by(REGRESSION.outcome, VISITS, "SELECT rep, b FROM drawn_b")},
+    u AS (UNPIVOT marks ON survival_treatment, survival_control, survival_difference, survival_ratio INTO NAME measure VALUE v)
+    SELECT followup_time, measure, round(quantile_cont(v, 0.025), 6) AS lb, round(quantile_cont(v, 0.975), 6) AS ub FROM u GROUP BY 1, 2""",
+)
+def sandwich_limits_of_all_measures(spark, folder):
+    """Limits of both survival curves, their difference and ratio from draws with the robust covariance."""
+    with TrialAnalysis(panel(spark, folder), REGRESSION) as a:
+        return rounded(I.measure_ci(a.normal_replicates(a.robust, DRAWS, SEED, "sandwich")))
