@@ -82,3 +82,15 @@ def test_pairs_contract_to_quadratic_forms():
     rng = np.random.default_rng(1)
     x, d = rng.normal(size=(7, 4)), rng.normal(size=(7, 4))
     assert np.allclose((loo._pairs(x) * loo._square(d)).sum(axis=1), (x * d).sum(axis=1) ** 2)
+
+
+def test_no_person_is_left_to_exact_passes(spark):
+    """All persons are solved where they lie: the table of exact passes has no row, and can be read."""
+    rows = [(i, 0, i // 2 % 2, 0, float(i % 5), int(i % 3 == 0), 1) for i in range(6000)]
+    panel = spark.createDataFrame(rows, "id long, t int, A int, Ap int, X2 double, Y int, eligible int")
+    plan = Plan(PanelSpec(visits=1), W.WeightDesigns(None), Design.of("assigned_treatment"), ("X2",))
+    with TrialAnalysis(panel, plan) as a:
+        reps = a.jackknife()
+        assert a._held[-1].filter("NOT good").isEmpty()
+        assert reps.curves.count() == 6000 and reps.coefficients.count() == 6000 * len(a.fit.design.names)
+        assert reps.moments["jackknife"].count == 6000
