@@ -206,3 +206,23 @@ def test_draws_are_carried_and_unfolded(spark):
     assert long.count() == 1200 and long.filter("n > 0").select("rep", "id", "n").exceptAll(counts).isEmpty()
     packed = R.pack_counts(counts).join(carried.withColumnRenamed("drawn", "d"), "id")
     assert packed.filter(F.sort_array("d") != F.col("drawn")).isEmpty()
+
+
+def test_result_rows_are_dealt_over_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    """A task of the results tables holds a bounded number of lines, and whole iterations."""
+    lines = spark.range(4000).select(
+        F.when(F.col("id") % 50 > 0, F.floor(F.col("id") / 5)).alias("l_orderkey"),
+        (F.col("id") % 5 + 1).alias("l_linenumber"),
+        *[(F.col("id") % k / 10).alias(c) for k, c in ((11, "l_discount"), (9, "l_tax"), (50, "l_quantity"))],
+    )
+    lines.unionByName(lines.filter("l_linenumber = 3")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = S.interval_results(spark, str(tmp_path))
+    want = V.coverage_simultaneous(few, S.scenario_truth(spark, str(tmp_path)), 4).toPandas()
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 100, raising=False)
+    many = S.interval_results(spark, str(tmp_path))
+    parts = many.withColumn("part", F.spark_partition_id())
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 6 * 400
+    got = V.coverage_simultaneous(many, S.scenario_truth(spark, str(tmp_path)), 4).toPandas()
+    by = ["outcome", "scenario", "method"]
+    assert want.sort_values(by).reset_index(drop=True).equals(got.sort_values(by).reset_index(drop=True))
+    assert parts.filter("iter IS NOT NULL").groupBy("iter").agg(F.countDistinct("part").alias("n")).agg(F.max("n")).first()[0] == 1
