@@ -5,8 +5,7 @@
 2. A randomised SVD gives the leading right singular vectors of the TF-IDF matrix of
    passages (``PASSAGE`` words): G = A'(A Omega), orthonormalised and applied again
    ``POWER`` times. Tasks add up A'(A Q) of their passages; only features x rank sums
-   meet. The basis is fitted on passages of at most about ``SAMPLE_DOCS`` documents, chosen
-   by hash; everything else runs over all.
+   meet. All passages of all documents count.
 3. Every window of every document (16, 32 and 48 words, a step of 8) is projected and
    compared by cosine with the benchmark items of about its length: those from ``COSINE``
    on are candidates.
@@ -40,13 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emulant.llm.words import Words, word_chunks
-from emulant.session import written
 
 FEATURES = 1 << 15
 RANK = 48
 POWER = 1
 PASSAGE = 32
-SAMPLE_DOCS = 20_000
+TASK_DOCS = 20_000
+PASSAGES_AT_ONCE = 32  # made dense over their own features
 HOP = 8
 SIZES = (16, 32, 48)
 COSINE = 0.5
@@ -63,7 +62,7 @@ def _features(words: Words) -> np.ndarray:
 
 
 def _tasks(docs: DataFrame, n: int) -> int:
-    return max(docs.sparkSession.sparkContext.defaultParallelism, n // SAMPLE_DOCS)
+    return max(docs.sparkSession.sparkContext.defaultParallelism, n // TASK_DOCS)
 
 
 def feature_idf(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -88,12 +87,27 @@ def feature_idf(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.1), n
 
 
+def _add_products(total: np.ndarray, words: Words, idf: np.ndarray, q: np.ndarray) -> None:
+    """Add A'(A q) of the passages of one chunk to ``total``."""
+    f = _features(words)
+    at = np.arange(len(f)) - np.repeat(words.starts(), words.ends - words.starts())
+    starts = np.flatnonzero(at % PASSAGE == 0)
+    bounds, w = np.append(starts, len(f)), idf[f]
+    w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), np.diff(bounds))
+    place = np.zeros(FEATURES, np.int64)
+    for first in range(0, len(starts), PASSAGES_AT_ONCE):
+        ends = bounds[first : first + PASSAGES_AT_ONCE + 1]
+        here = slice(ends[0], ends[-1])
+        own = np.flatnonzero(np.bincount(f[here], minlength=FEATURES))
+        place[own] = np.arange(len(own))
+        cell = np.repeat(np.arange(len(ends) - 1) * len(own), np.diff(ends)) + place[f[here]]
+        a = np.bincount(cell, w[here], (len(ends) - 1) * len(own)).astype(np.float32).reshape(-1, len(own))
+        total[own] += a.T @ (a @ q[own])
+
+
 def latent_basis(docs: DataFrame, idf: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """Orthonormal basis (features x rank) of the leading right singular vectors of TF-IDF passages."""
     spark = docs.sparkSession
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = written(sample, "passage-sample")
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, RANK)))[0].astype(np.float32)
     shared_idf = spark.sparkContext.broadcast(idf)
     for _ in range(1 + POWER):
@@ -101,27 +115,17 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, n: int, seed: int = 1) -> np.
 
         def multiply(batches: Iterator[pa.RecordBatch]):
             idf, q = shared_idf.value, shared.value
-            total = np.zeros((FEATURES, RANK), np.float32)
+            total = np.zeros((FEATURES, RANK))
             for batch in batches:
                 for words in word_chunks(_lower(batch.column(0))):
-                    if not len(words.hashes):
-                        continue
-                    f, n = _features(words), words.ends - words.starts()
-                    at = np.arange(len(f)) - np.repeat(words.starts(), n)
-                    starts = np.flatnonzero(at % PASSAGE == 0)
-                    size = np.diff(starts, append=len(f))
-                    w = idf[f]
-                    w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), size)
-                    y = np.repeat(np.add.reduceat(w[:, None] * q[f], starts, axis=0), size, axis=0) * w[:, None]
-                    order = np.argsort(f, kind="stable")
-                    first = np.flatnonzero(np.diff(f[order], prepend=-1))
-                    total[f[order][first]] += np.add.reduceat(y[order], first, axis=0)
+                    if len(words.hashes):
+                        _add_products(total, words, idf, q)
             some = np.flatnonzero(total.any(axis=1))
             if len(some):
-                values = pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), RANK).cast(pa.list_(pa.float32()))
+                values = pa.FixedSizeListArray.from_arrays(pa.array(total[some].astype(np.float32).ravel()), RANK).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array(some), values], ["f", "v"])
 
-        parts = sample.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(multiply, "f long, v array<float>")
+        parts = docs.select("text").coalesce(_tasks(docs, n)).mapInArrow(multiply, "f long, v array<float>")
         sums = parts.groupBy("f").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(RANK)]).alias("v")).toArrow()  # at most FEATURES rows
         g = np.zeros((FEATURES, RANK))
         if sums.num_rows:
@@ -216,20 +220,19 @@ class Items:
         return lcs >= LCS or (lcs >= LCS_ANSWER and answer >= ANSWER)
 
 
-def _projected(basis: np.ndarray, f: np.ndarray, begin: np.ndarray, end: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of the windows from block ``held`` to block ``end``; only blocks of such windows are projected."""
-    used = np.zeros(len(begin) + 1, np.int64)
-    np.add.at(used, held, 1)
-    np.add.at(used, end[held], -1)
-    blocks = np.flatnonzero(np.cumsum(used)[:-1] > 0)
-    size = np.append(begin[1:], len(f))[blocks] - begin[blocks]
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size) + np.repeat(begin[blocks], size)
+def _block_sums(basis: np.ndarray, f: np.ndarray, begin: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Running sums of the latent vectors of ``blocks``."""
+    place = begin[blocks][:, None] + np.arange(HOP)
+    inside = place < np.append(begin[1:], len(f))[blocks][:, None]
+    # A place beyond the block counts as a feature without weight.
+    feature = np.where(inside, f[np.minimum(place, len(f) - 1)], len(basis))
+    basis = np.append(basis, np.zeros((1, basis.shape[1]), basis.dtype), axis=0)
+    sums = basis[feature[:, 0]]
+    for k in range(1, HOP):
+        sums += basis[feature[:, k]]
     total = np.zeros((len(blocks) + 1, basis.shape[1]))
-    np.cumsum(np.add.reduceat(basis[f[place]], first, axis=0), axis=0, out=total[1:])
-    at = np.searchsorted(blocks, held)
-    v = (total[at + end[held] - held] - total[at]).astype(np.float32)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    np.cumsum(sums, axis=0, out=total[1:])
+    return total
 
 
 def _search(words: Words, basis: np.ndarray, items: Items) -> dict[int, dict[int, tuple]]:
@@ -243,6 +246,7 @@ def _search(words: Words, basis: np.ndarray, items: Items) -> dict[int, dict[int
     row = np.repeat(np.arange(len(n)), n)[begin]
     last = np.searchsorted(row, row, "right")  # end of the blocks of the row
     numbers = np.append(items.word_numbers(words.hashes), len(items.vocabulary))
+    windows, used = {}, np.zeros(len(begin) + 1, np.int64)
     for size, which in items.by_size.items():
         if not len(which):
             continue
@@ -253,19 +257,29 @@ def _search(words: Words, basis: np.ndarray, items: Items) -> dict[int, dict[int
         held = np.flatnonzero(keys[high] > keys[low])
         if not len(held):
             continue
-        v = _projected(basis, f, begin, np.minimum(np.arange(len(begin)) + size // HOP, last), held)
+        end = np.minimum(held + size // HOP, last[held])
+        windows[size] = held, end
+        np.add.at(used, held, 1)
+        np.add.at(used, end, -1)
+    # Only blocks of such windows are projected, once for all sizes.
+    blocks = np.flatnonzero(np.cumsum(used)[:-1] > 0)
+    total = _block_sums(basis, f, begin, blocks)
+    for size, (held, end) in windows.items():
+        which, first = items.by_size[size], np.searchsorted(blocks, held)
+        v = (total[first + end - held] - total[first]).astype(np.float32)
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
         cosine = items.vectors[which] @ v.T
         for i in np.flatnonzero((cosine >= COSINE).any(axis=1)):
             item = int(which[i])
             near = np.flatnonzero(cosine[i] >= COSINE)
-            blocks = held[near]
+            found = held[near]
             # Words around the window, as far as the row goes; the last number is no word.
-            low = np.maximum(begin[blocks] - HOP, starts[row[blocks]])
-            high = np.minimum(begin[blocks] + max(size, len(items.words[item])) + HOP, words.ends[row[blocks]])
+            low = np.maximum(begin[found] - HOP, starts[row[found]])
+            high = np.minimum(begin[found] + max(size, len(items.words[item])) + HOP, words.ends[row[found]])
             region = low[:, None] + np.arange(max(size, len(items.words[item])) + 2 * HOP)
             common = items.common(item, numbers[np.where(region < high[:, None], region, len(f))])
             for j in np.flatnonzero(common >= items.needed(item)):
-                r = int(row[blocks[j]])
+                r = int(row[found[j]])
                 known = hits.get(r, {}).get(item)
                 lcs, answer = items.compare(item, words.hashes[low[j] : high[j]].tolist())
                 if items.leaks(item, lcs, answer) and (known is None or lcs > known[1]):

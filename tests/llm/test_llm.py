@@ -339,3 +339,26 @@ def test_windows_without_key_words_hold_no_leak():
         r: {k: h[1:] for k, h in hits.items()} for r, hits in leaks._search(chunk, basis, every).items()
     }
     assert len(found) > 5
+
+
+def test_latent_basis_is_that_of_all_passages(spark, monkeypatch):
+    rng = random.Random(11)
+    docs = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    for name in ("TASK_DOCS", "SAMPLE_DOCS"):  # a number of documents far below the whole
+        monkeypatch.setattr(leaks, name, 20, raising=False)
+    monkeypatch.setattr(leaks, "RANK", 4)
+    rows = spark.createDataFrame([(t,) for t in [*docs, None, ""]], "text string")
+    idf, n = leaks.feature_idf(rows)
+    got = leaks.latent_basis(rows, idf, n)
+    a = []
+    for chunk in words.word_chunks(leaks._lower(pa.array(docs))):
+        f = leaks._features(chunk)
+        for low, high in zip(chunk.starts(), chunk.ends):
+            for at in range(low, high, leaks.PASSAGE):
+                part = f[at : min(at + leaks.PASSAGE, high)]
+                a.append(np.bincount(part, idf[part], leaks.FEATURES) / np.sqrt((idf[part].astype(float) ** 2).sum()))
+    a = np.array(a)
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((leaks.FEATURES, 4)))[0]
+    for _ in range(1 + leaks.POWER):
+        q = np.linalg.qr(a.T @ (a @ q))[0]
+    assert np.linalg.svd(q.T @ got)[1].min() > 0.9999
