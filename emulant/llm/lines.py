@@ -22,8 +22,8 @@ from emulant.session import written
 
 LEAD, BLOCKS, GENERAL, LEAST_DOCS = 2, 4, 10, 3
 SPACE = r"\x20\x09-\x0D"
-#: Variable fields: anything with a digit, a mail address or a link.
-VARIABLE = rf"[^{SPACE}]*(?:[0-9]|@|://)[^{SPACE}]*"
+#: Variable fields: anything with a digit, a mail address or a link. Tried once for each token, without going back.
+VARIABLE = rf"(?<![^{SPACE}])(?:[^{SPACE}0-9@:]|:(?!//))*+[0-9@:][^{SPACE}]*+"
 
 
 def _templates(tokens: Column) -> Column:
@@ -96,16 +96,32 @@ def line_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     )
 
 
-def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``docs`` with ``clean_text``, the text without recurring lines; null stays null.
+def cleaned_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``docs`` with the struct column ``lines``: n_lines, n_words, n_dropped, dropped_words, clean_text.
 
-    A column ``clean_text`` of ``docs`` is replaced; other names can't clash, as rows travel as a struct.
+    ``clean_text`` is the text without recurring lines; null stays null. A column ``lines`` of ``docs`` is
+    replaced; other names can't clash, as rows travel as a struct.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     numbered = written(packed, "numbered")
     base, dropped = recurring_lines(numbered.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), least_docs)
-    gone = dropped.join(base.select("row", "doc_id"), "row").groupBy(F.col("doc_id").alias("_g")).agg(F.collect_set("line").alias("_gone"))
-    met = numbered.join(gone, F.col("_row") == F.col("_g"), "left")
+    gone = dropped.groupBy("row").agg(
+        F.collect_set("line").alias("_gone"), F.count(F.lit(1)).alias("n_dropped"), F.sum("words").cast("long").alias("dropped_words")
+    )
+    met = numbered.join(base.join(gone, "row", "left"), F.col("_row") == F.col("doc_id"))
     kept = F.filter(F.split("_doc.text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+    zero = F.lit(0).cast("long")
+    counts = ["n_lines", "n_words", *[F.coalesce(c, zero).alias(c) for c in ("n_dropped", "dropped_words")]]
+    columns = [F.col("_doc")[c].alias(c) for c in docs.columns if c != "lines"]
+    return met.select(*columns, F.struct(*counts, F.array_join(kept, "\n").alias("clean_text")).alias("lines"))
+
+
+def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``docs`` with ``clean_text``, the text without recurring lines; null stays null.
+
+    A column ``clean_text`` of ``docs`` is replaced; other names can't clash, as rows travel as a struct.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
+    clean = cleaned_lines(packed, least_docs)
     columns = [F.col("_doc")[c].alias(c) for c in docs.columns if c != "clean_text"]
-    return met.select("_doc", F.array_join(kept, "\n").alias("_clean")).select(*columns, F.col("_clean").alias("clean_text"))
+    return clean.select("_doc", F.col("lines.clean_text").alias("_clean")).select(*columns, F.col("_clean").alias("clean_text"))

@@ -362,3 +362,19 @@ def test_latent_basis_is_that_of_all_passages(spark, monkeypatch):
     for _ in range(1 + leaks.POWER):
         q = np.linalg.qr(a.T @ (a @ q))[0]
     assert np.linalg.svd(q.T @ got)[1].min() > 0.9999
+
+
+def test_line_query_returns_what_is_left(spark, tmp_path):
+    """The checksum of each text without the lines that recur, beside their counts."""
+    import hashlib
+
+    from emulant.llm import queries_lines
+
+    texts_ = [f"own line {'abcdefgh'[k]}\nCopyright 20{k} x@y.z\n\nlast {'abcdefgh'[k]} words" for k in range(5)] + [None, "", "own line a\nother"]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    rows.unionByName(rows.filter("doc_id = 7")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries_lines.op8_line_dedup(spark, str(tmp_path)).collect()
+    want = {k: "\n".join(x for x in (t or "").split("\n") if not x.startswith(("Copyright", "own line a"))) for k, t in enumerate(texts_)}
+    assert len(got) == 9
+    assert {r.doc_id: r.clean_sha256 for r in got} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {0: (3, 2), **{k: (3, 1) for k in (1, 2, 3, 4)}, 5: (0, 0), 6: (0, 0), 7: (2, 1)}
