@@ -378,3 +378,74 @@ def test_line_query_returns_what_is_left(spark, tmp_path):
     assert len(got) == 9
     assert {r.doc_id: r.clean_sha256 for r in got} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
     assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {0: (3, 2), **{k: (3, 1) for k in (1, 2, 3, 4)}, 5: (0, 0), 6: (0, 0), 7: (2, 1)}
+
+
+def _classes(n, pairs):
+    """Least member of the class of each of ``n`` nodes, by brute force."""
+    label = list(range(n))
+    for a, b in pairs:
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
+def _weighted_jaccard(a, b):
+    both = np.intersect1d(a[0], b[0], return_indices=True)
+    low = np.minimum(a[1][both[1]].astype(float), b[1][both[2]].astype(float)).sum()
+    return low / (a[1].astype(float).sum() + b[1].astype(float).sum() - low)
+
+
+def test_no_link_of_a_bucket_is_left_out(spark, monkeypatch):
+    """Classes of a group of copies that are alike in all degrees are those of all pairs that share a bucket."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(160):
+        words_ = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            words_[at] = f"n{i}x{at}" if rng.random() < 0.5 else f"m{at}"
+        rows.append((i, " ".join(words_)))
+    rows += [(160 + i, t) for i, t in enumerate(texts(900 - len(rows), 22, 30))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known, n = neardup.frequent_shingles(df)
+    known = known.toPandas()
+    idf = neardup.Idf(known["h"].to_numpy(np.int64).view(np.uint64), known["df"].to_numpy(np.int64), n, neardup.IDF_FLOOR)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    signed = {i: b for part in neardup._batches(1, idf, True)([batch]) for i, b in zip(part["doc_id"].to_pylist(), part["bands"].to_pylist())}
+    sets = {}
+    for part in neardup._batches(1, idf, False)([batch]):
+        for i, h, w in zip(part["doc_id"].to_pylist(), part["h"], part["w"]):
+            sets[i] = h.values.to_numpy().view(np.uint64), w.values.to_numpy()
+    pairs = []
+    for a in range(160):
+        for b in range(a):
+            if any(x == y for x, y in zip(signed[a], signed[b])) and _weighted_jaccard(sets[a], sets[b]) >= neardup.SIMILAR:
+                pairs.append((a, b))
+    want = _classes(160, pairs)
+    assert len(set(want)) > 5
+    for size in (1 << 19, 3000):  # whole buckets, and blocks of about twenty sets
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", size)
+        got = {r.doc_id: r.near.class_id for r in neardup.near_duplicates(df).collect()}
+        assert [got[i] for i in range(160)] == want
+
+
+def test_members_of_two_heads_are_compared():
+    """Sets 1 and 2 are alike, each with a head of its own (0 and 3) that is not like the other's."""
+    span = lambda a, b: np.arange(a, b, dtype=np.uint64)
+    sets = [span(0, 100), span(10, 110), span(20, 120), span(30, 130), span(500, 600)]
+    ends, h = np.cumsum([len(x) for x in sets]), np.concatenate(sets)
+    got = neardup.group_links(np.arange(5), ends, h, np.ones(len(h), np.float32), 0.8)
+    assert _classes(5, got) == [0, 0, 0, 0, 4] and len(got) == 3
+    assert all(v in (u - 1, u + 1) for u, v in got)
+    assert neardup.group_links(np.array([7, 7, 9, 9, 9]), ends, h, np.ones(len(h), np.float32), 0.8) == [(2, 1)]
+
+
+def test_equal_texts_have_equal_hashes_wherever_they_lie():
+    """The hash of a word sequence does not depend on the rows before it."""
+    same = texts(1, 31, 80)[0]
+    column = pa.array([t for k, t in enumerate(texts(50, 32, 90)) for t in (t, same if k % 2 else t + " x")])
+    got = np.concatenate([text[np.unique(row)] for _, row, _, _, text in neardup._sets(column)])
+    alone = next(iter(neardup._sets(pa.array([same]))))[4][0]
+    assert (got[3::4] == alone).all() and len(np.unique(got)) == 76
