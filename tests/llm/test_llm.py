@@ -449,3 +449,19 @@ def test_equal_texts_have_equal_hashes_wherever_they_lie():
     got = np.concatenate([text[np.unique(row)] for _, row, _, _, text in neardup._sets(column)])
     alone = next(iter(neardup._sets(pa.array([same]))))[4][0]
     assert (got[3::4] == alone).all() and len(np.unique(got)) == 76
+
+
+def test_lines_are_parsed_as_by_one_pattern(spark):
+    """Tokens between ASCII white space, variable ones masked, as a pattern over the whole text has them; the plan holds no such pattern."""
+    odd = ["a:b c:// x://y", "\t\x0b lead\x0c trail \r\n\n  \r\n", "é:// ü@ß １２ 7é", "a\x1cb \u00a0 c\u2003d", "://", ": :/ :/: //", "x" * 40 + "9", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    space = r"\x20\x09-\x0D"
+    whole = rf"(?<![^{space}])(?:[^{space}0-9@:]|:(?!//))*+[0-9@:][^{space}]*+"
+    tokens = F.transform(
+        F.split(F.regexp_replace(F.coalesce("text", F.lit("")), whole, "<*>"), "\n"), lambda x: F.regexp_extract_all(x, F.lit(rf"([^{space}]+)"), F.lit(1))
+    )
+    old = F.transform(tokens, lambda t: F.struct(F.size(t).alias("words"), F.when(F.size(t) > 0, lines._templates(t)).otherwise(F.array().cast("array<bigint>")).alias("templates")))
+    parsed = df.select(lines.parsed_lines(F.col("text")).alias("new"), old.alias("old"))
+    assert all(r.new == r.old for r in parsed.collect())
+    plan = df.select(lines.parsed_lines(F.col("text")))._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "regexp_extract_all" not in plan
