@@ -206,6 +206,49 @@ def test_compact_windows_equal_brute_force():
         assert sorted(zip(*passages.compact_windows(h))) == sorted(want)
 
 
+def test_all_windows_of_a_key_meet(spark):
+    rng, rows, pairs = random.Random(8), [], set()
+
+    def prose(n):
+        return [f"q{rng.randrange(10**6)}" for _ in range(n)]
+
+    for g in range(12):
+        passage = prose(50)
+        # The lesser documents hold most of the passage, too little for a link; two hold all of it.
+        parts = [passage[:45] if k % 2 else passage[5:] for k in range(14)] + [passage] * 2
+        for k, part in enumerate(parts):
+            rows.append((100 * g + k, " ".join(prose(60) + part + prose(60))))
+        pairs.add((100 * g + 15, 100 * g + 14))
+    found, _ = passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r.id, r.n_links, r.root) for r in found.collect()]
+    assert sorted(got) == sorted([(a, 1, b) for a, b in pairs] + [(b, 1, b) for _, b in pairs])
+
+
+def test_blocks_of_a_cell_meet_and_pairs_count_once(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = [[f"s{rng.randrange(10**6)}" for _ in range(70)] for _ in range(2)]
+    rows = [(i, " ".join([*shared[0], *(f"u{rng.randrange(10**6)}" for _ in range(50 + 50 * i)), *shared[1]])) for i in range(30)]
+    monkeypatch.setattr(passages, "BLOCK_SHINGLES", 5000)
+    monkeypatch.setattr(passages, "AT_ONCE", 500)
+    got = {r.doc_id: r.passages for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(p.class_id == 0 and p.n_links == 29 for p in got.values())
+    assert all([(s.start, s.end) for s in got[i].spans] == [(0, 70), (120 + 50 * i, 190 + 50 * i)] for i in range(1, 30)) and got[0].spans is None
+
+
+def test_longest_stretches_equal_those_of_one_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a = words.mix(rng.integers(0, 1 << 40, 150).astype(np.uint64))
+        b = np.concatenate((words.mix(rng.integers(0, 1 << 40, 20).astype(np.uint64)), a))
+        gone = rng.random(len(b)) < rng.choice([0.0, 0.02, 0.1])
+        b[gone] = words.mix(rng.integers(0, 1 << 40, int(gone.sum())).astype(np.uint64))
+        b = np.delete(b, rng.integers(0, len(b), 6))
+        place = np.array([int(np.flatnonzero(b == x)[0]) if (b == x).any() else -1 for x in a])
+        met = np.flatnonzero((place >= 0) & (np.abs(place - np.arange(150) - 17) <= passages.SIDE))
+        start, end = passages._longest(met, place[met], np.array([0]), 0.8)
+        assert (passages.best_passage(a, b, 17) or (0, 0)) == (start[0], end[0])
+
+
 def test_repeated_passages(spark, edge, none):
     base, shared = texts(40, 5, 150), texts(1, 6, 55)[0]
     rows = [(i, f"{t} {shared} {t[::-1]}" if i < 10 else t) for i, t in enumerate(base)]
