@@ -23,6 +23,7 @@ attempt and then renamed, so a task that runs again leaves the same files.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,11 +44,18 @@ SPLIT = r"[^ \t\n\r\x0b\x0c]+"
 MEMO = 200_000
 
 
+#: How tokenizers of the kind ``</w>`` split text, and the same for lower-cased ASCII without white space.
+SPLIT_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+
+
 class WordEncoder(dict):
     """Ids of whole texts as bytes, made from the ids of their runs between white space.
 
     Right for tokenizers whose tokens never cross ASCII white space and that drop it; runs are
-    kept in memory up to ``MEMO`` of them. Each run goes through the tokenizers library.
+    kept in memory up to ``MEMO`` of them. Each run goes through the tokenizers library. Where the tokenizer
+    lower-cases and splits by ``SPLIT_PIECES``, runs of printable ASCII are made from the ids of their pieces, and
+    the new pieces of a text go through the library in one call, its other new runs in a second one.
     """
 
     def __init__(self, path: str):
@@ -59,17 +67,73 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.runs = re.compile(SPLIT).findall
         self.kind = id_type(path)
+        self.pieces: dict[str, bytes] = {}
+        self.split = re.compile(ASCII_PIECES).findall if splits_pieces(path) else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self._ids(run).tobytes()
         if len(run) < 64:
             self[run] = ids
         return ids
 
+    def _learn(self, runs: list[str]) -> None:
+        """Keep the short ones of ``runs`` that are made of pieces."""
+        made = {r: self.split(r.lower()) for r in runs if len(r) < 64 and r.isascii() and r.isprintable() and not any(t in r for t in self.special)}
+        new = list({p for pieces in made.values() for p in pieces if p not in self.pieces})
+        if new:
+            ids = self._ids(" ".join(new))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(new) and ends[-1] == len(ids):
+                data, width = ids.tobytes(), ids.itemsize
+                at = [0, *(ends * width).tolist()]
+                self.pieces.update(zip(new, (data[x:y] for x, y in zip(at, at[1:]))))
+            else:
+                self.pieces.update((p, self._ids(p).tobytes()) for p in new)
+        of = self.pieces.__getitem__
+        self.update((r, b"".join(map(of, pieces))) for r, pieces in made.items())
+        # All others in one call too, a special token between every two: text is normalised and split between these.
+        others = [r for r in runs if r not in made and len(r) < 64 and not any(t in r for t in self.special)]
+        if others:
+            ids = self._ids(self.special[0].join(others))
+            cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(self.special[0]))
+            if len(cuts) == len(others) - 1:
+                data, width = ids.tobytes(), ids.itemsize
+                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
+                self.update((r, data[x:y]) for r, x, y in zip(others, starts, ends))
+
     def encode(self, text: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        return b"".join(map(self.__getitem__, self.runs(text)))
+        for memo in (self, self.pieces):
+            if len(memo) > MEMO:
+                memo.clear()
+        runs = self.runs(text)
+        if self.split and self.special:
+            self._learn([r for r in set(runs) if r not in self])
+        return b"".join(map(self.__getitem__, runs))
+
+
+def splits_pieces(path: str) -> bool:
+    """Whether the tokenizer lower-cases and then splits by ``SPLIT_PIECES``, each piece ending with ``</w>``."""
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    normalizers = [n["type"] for n in (known["normalizer"] or {}).get("normalizers", [])]
+    splits = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        normalizers == ["NFC", "Replace", "Lowercase"]
+        and [p["type"] for p in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": SPLIT_PIECES}
+        and splits[0]["behavior"] == "Removed"
+        and splits[0]["invert"]
+        and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
+        and known["model"].get("end_of_word_suffix") == "</w>"
+        and all(t["special"] and not t["normalized"] for t in known["added_tokens"])
+    )
 
 
 def id_type(path: str) -> str:

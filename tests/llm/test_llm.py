@@ -154,6 +154,19 @@ def test_runs_encode_as_whole_texts():
         assert encoder.encode(text) == want, text
 
 
+def test_runs_of_new_texts_take_one_call_of_the_library():
+    encoder, library = tokens.WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    rng, calls = random.Random(5), []
+    one = encoder._ids
+    encoder._ids = lambda text: calls.append(text) or one(text)
+    letters = "abcXYZ019'.,-<|>_sdtm\\\"$"
+    for _ in range(40):
+        text = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(50))
+        text += " <|endoftext|> x<|ENDOFTEXT|>y it's 'S ''s I'LL. we'Ve " + "long" * 30 + " ".join(["", "É\u0301a", "\u0301b", "ﬁΣ", "\x85x", "e\u0301.É", rng.choice(letters) + "ñ"])
+        assert encoder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
+    assert len(calls) <= 40 * 5
+
+
 def test_perfect_hash_is_minimal():
     keys = words.mix(np.arange(3000, dtype=np.uint64))
     sizes, bits, slot = tokens.build_levels(keys)
