@@ -27,9 +27,11 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ from emulant.session import new_table_path, written
 END_ID = 1
 BUCKET_KEYS = 1024
 LEVEL_BITS = 1.6
-SPLIT = r"[^ \t\n\r\x0b\x0c]+"
-MEMO = 200_000
+CHUNK_BYTES = 1 << 23  # of texts encoded at once
+CALL_RUNS = 2048  # runs or pieces that go through the library in one call
 
 
 #: How tokenizers of the kind ``</w>`` split text, and the same for lower-cased ASCII without white space.
@@ -49,73 +51,115 @@ SPLIT_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
 
 
-class WordEncoder(dict):
+class Ids(NamedTuple):
+    """Ids of strings, one after the other; string k has ``counts[k]`` of them."""
+
+    values: np.ndarray
+    counts: np.ndarray
+
+    def take(self, which: np.ndarray) -> Ids:
+        counts = self.counts[which]
+        first = (np.cumsum(self.counts) - self.counts)[which] - (np.cumsum(counts) - counts)
+        return Ids(self.values[np.repeat(first, counts) + np.arange(int(counts.sum()))], counts)
+
+
+def _joined(parts: list[Ids], kind: str) -> Ids:
+    return Ids(np.concatenate([np.zeros(0, kind), *(p.values for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p.counts for p in parts)]))
+
+
+class WordEncoder:
     """Ids of whole texts as bytes, made from the ids of their runs between white space.
 
-    Right for tokenizers whose tokens never cross ASCII white space and that drop it; runs are
-    kept in memory up to ``MEMO`` of them. Each run goes through the tokenizers library. Where the tokenizer
-    lower-cases and splits by ``SPLIT_PIECES``, runs of printable ASCII are made from the ids of their pieces, and
-    the new pieces of a text go through the library in one call, its other new runs in a second one.
+    Right for tokenizers whose tokens never cross ASCII white space and that drop it. The distinct runs of a chunk of
+    texts go through the tokenizers library. Where the tokenizer lower-cases and splits by ``SPLIT_PIECES``, runs of
+    printable ASCII are made from the ids of their distinct pieces, and pieces and other runs go through the library
+    ``CALL_RUNS`` in a call.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs = re.compile(SPLIT).findall
         self.kind = id_type(path)
-        self.pieces: dict[str, bytes] = {}
-        self.split = re.compile(ASCII_PIECES).findall if splits_pieces(path) else None
+        self.split = splits_pieces(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # For pieces, which are normalised and split already; bytes of printable ASCII stand for themselves.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-
-    def __missing__(self, run: str) -> bytes:
-        ids = self._ids(run).tobytes()
-        if len(run) < 64:
-            self[run] = ids
-        return ids
-
-    def _learn(self, runs: list[str]) -> None:
-        """Keep the short ones of ``runs`` that are made of pieces."""
-        made = {r: self.split(r.lower()) for r in runs if len(r) < 64 and r.isascii() and r.isprintable() and not any(t in r for t in self.special)}
-        new = list({p for pieces in made.values() for p in pieces if p not in self.pieces})
-        if new:
-            ids = self._ids(" ".join(new))
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _alone(self, runs: list[str]) -> Ids:
+        ids = [self._ids(r) for r in runs]
+        return _joined([Ids(x, np.array([len(x)])) for x in ids], self.kind)
+
+    def _pieces(self, pieces: list[str]) -> Ids:
+        parts = []
+        for k in range(0, len(pieces), CALL_RUNS):
+            some = pieces[k : k + CALL_RUNS]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new) and ends[-1] == len(ids):
-                data, width = ids.tobytes(), ids.itemsize
-                at = [0, *(ends * width).tolist()]
-                self.pieces.update(zip(new, (data[x:y] for x, y in zip(at, at[1:]))))
-            else:
-                self.pieces.update((p, self._ids(p).tobytes()) for p in new)
-        of = self.pieces.__getitem__
-        self.update((r, b"".join(map(of, pieces))) for r, pieces in made.items())
-        # All others in one call too, a special token between every two: text is normalised and split between these.
-        others = [r for r in runs if r not in made and len(r) < 64 and not any(t in r for t in self.special)]
-        if others:
-            ids = self._ids(self.special[0].join(others))
-            cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(self.special[0]))
-            if len(cuts) == len(others) - 1:
-                data, width = ids.tobytes(), ids.itemsize
-                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
-                self.update((r, data[x:y]) for r, x, y in zip(others, starts, ends))
+            good = len(ends) == len(some) and ends[-1] == len(ids)
+            parts.append(Ids(ids, np.diff(ends, prepend=0)) if good else self._alone(some))
+        return _joined(parts, self.kind)
+
+    def _others(self, runs: list[str]) -> Ids:
+        """Runs with a special token between every two: text is normalised and split between these."""
+        mark, parts = self.special[0], []
+        for k in range(0, len(runs), CALL_RUNS):
+            some = runs[k : k + CALL_RUNS]
+            ids = self._ids(mark.join(some))
+            marks = ids == self.tokenizer.token_to_id(mark)
+            cuts = np.flatnonzero(marks)
+            good = len(cuts) == len(some) - 1
+            parts.append(Ids(ids[~marks], np.diff(np.append(cuts, len(ids)), prepend=-1) - 1) if good else self._alone(some))
+        return _joined(parts, self.kind)
+
+    def _runs(self, runs: pa.Array) -> Ids:
+        """Ids of distinct runs."""
+        if not self.split or not self.special:
+            return self._alone(runs.to_pylist())
+        special = np.zeros(len(runs), bool)
+        for token in self.special:
+            special |= pc.match_substring(runs, token).to_numpy(zero_copy_only=False)
+        made = pc.match_substring_regex(runs, r"^[\x21-\x7e]+$").to_numpy(zero_copy_only=False) & ~special
+        cut = pc.replace_substring_regex(pc.ascii_lower(runs.filter(pa.array(made))), f"({ASCII_PIECES})", r"\1 ")
+        lists = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(cut))
+        pieces = lists.flatten().dictionary_encode()
+        ids = self._pieces(pieces.dictionary.to_pylist()).take(pieces.indices.to_numpy())
+        upto = np.concatenate(([0], np.cumsum(ids.counts)))
+        parts = [Ids(ids.values, np.diff(upto[lists.offsets.to_numpy()]))]
+        order = [np.flatnonzero(made)]
+        for which, ids_of in ((special, self._alone), (~special & ~made, self._others)):
+            parts.append(ids_of(runs.filter(pa.array(which)).to_pylist()))
+            order.append(np.flatnonzero(which))
+        place = np.empty(len(runs), np.int64)
+        place[np.concatenate(order)] = np.arange(len(runs))
+        return _joined(parts, self.kind).take(place)
+
+    def encode_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, null counted as empty, in chunks of about ``CHUNK_BYTES``."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            before = sizes[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
+            lists = pc.ascii_split_whitespace(texts.slice(at, upto - at))
+            runs = lists.flatten().dictionary_encode()
+            ids = self._runs(runs.dictionary).take(runs.indices.to_numpy())
+            ends = np.concatenate(([0], np.cumsum(ids.counts)))[lists.offsets.to_numpy()] * ids.values.itemsize
+            data = ids.values.tobytes()
+            yield from (data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
+            at = upto
 
     def encode(self, text: str) -> bytes:
-        for memo in (self, self.pieces):
-            if len(memo) > MEMO:
-                memo.clear()
-        runs = self.runs(text)
-        if self.split and self.special:
-            self._learn([r for r in set(runs) if r not in self])
-        return b"".join(map(self.__getitem__, runs))
+        return next(self.encode_texts(pa.array([text])))
 
 
 def splits_pieces(path: str) -> bool:
@@ -142,6 +186,16 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def _id_type_there(spark: SparkSession, path: str) -> str:
+    """``id_type`` by a task: the vocabulary does not lie in the driver."""
+
+    def kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([id_type(path)] * batch.num_rows)], ["kind"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(kind, "kind string").first()[0]
+
+
 def _write_shards(path: str, folder: str, end_id: int):
     """Rows of one partition, in order, to one shard; gives the place of each row."""
 
@@ -157,8 +211,8 @@ def _write_shards(path: str, folder: str, end_id: int):
         with fs.open_output_stream(attempt) as out:
             for batch in batches:
                 ids, offsets, lengths, nth = batch.column(0), [], [], []
-                for key, text in zip(ids.to_pylist(), batch.column(1)):
-                    data = encoder.encode(text.as_py() or "") + end
+                for key, data in zip(ids.to_pylist(), encoder.encode_texts(batch.column(1))):
+                    data += end
                     out.write(data)
                     seen = seen + 1 if key == last else 0
                     last = key
@@ -325,4 +379,4 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     folder = write_tokens(docs, tokenizer)
     keys = spark.read.parquet(f"{folder}/keys")
-    return read_ids(look_up(keys, folder), folder, id_type(tokenizer))
+    return read_ids(look_up(keys, folder), folder, _id_type_there(spark, tokenizer))

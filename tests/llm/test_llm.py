@@ -167,6 +167,23 @@ def test_runs_of_new_texts_take_one_call_of_the_library():
     assert len(calls) <= 40 * 5
 
 
+def test_texts_of_a_chunk_share_calls_of_the_library(monkeypatch):
+    """Calls grow with the distinct runs, not with the texts; chunks, nulls and white space of all kinds change nothing."""
+    encoder, library = tokens.WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    rng, calls = random.Random(6), []
+    one = encoder._ids
+    encoder._ids = lambda text: calls.append(text) or one(text)
+    known = [*texts(1, 60, 60)[0].split(), "École", "ΣΑΣ", "e\u0301", "\u0301b", "it's", "A.B-1", "x\x85y", "\x00", "日本"]
+    spaces = [" ", "\n", "\t ", "\r\x0b", "\x0c", "\u2003", "\x1c", "\xa0"]
+    some = [None, "", " \n", "É", *("".join(rng.choice(known) + rng.choice(spaces) for _ in range(rng.randrange(60))) for _ in range(300))]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+    column = pa.array(["not in the slice", *some])[1:]
+    assert list(encoder.encode_texts(column)) == want
+    assert len(calls) < 10
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 500)
+    assert list(encoder.encode_texts(column)) == want
+
+
 def test_perfect_hash_is_minimal():
     keys = words.mix(np.arange(3000, dtype=np.uint64))
     sizes, bits, slot = tokens.build_levels(keys)
