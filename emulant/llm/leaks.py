@@ -10,9 +10,10 @@
    compared by cosine with the benchmark items of about its length: those from ``COSINE``
    on are candidates.
    Before anything is projected, windows that can't hold a leak are passed over: a leak has c of
-   an item's n words, so it has one of the n - c + 1 of them that are rarest in the documents. A
-   window is projected if such a key word of an item of its size stands in it or around it. This
-   is exact, by the pigeonhole principle, and any choice of n - c + 1 words would do.
+   an item's n words, so it has k of the n - c + k of them that are rarest in the documents. A
+   window is projected for the items of its size of which k such key words (``KEY_HITS``, or c if that is
+   less) stand in it or around it. This is exact, by the pigeonhole principle, and any choice of
+   n - c + k words would do.
 4. Where the words around a candidate's window hold too few of the item's, no common subsequence can
    be long enough. The others are compared with the item by their longest common subsequence, and with the words of its answer (its last sentence). A leak has
    ``LCS`` of the item's words in order, or ``LCS_ANSWER`` of them and ``ANSWER`` of the answer.
@@ -51,6 +52,8 @@ SIZES = (16, 32, 48)
 COSINE = 0.5
 LCS, LCS_ANSWER, ANSWER, SHORT = 0.7, 0.55, 0.8, 8
 BLOCK_ITEMS = 4096
+KEY_HITS = 4
+CELLS = 1 << 21  # windows times items for which key words are counted at once
 
 
 def _lower(column: pa.Array) -> pa.Array:
@@ -156,6 +159,7 @@ class Items:
             vectors.append(basis[f].sum(axis=0))
         v = np.array(vectors, np.float32).reshape(len(vectors), basis.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        self.size = size
         self.by_size = {s: np.flatnonzero(np.array(size, int) == s) for s in SIZES}
         # Words of all items, and for each item the place of a word in its own list of distinct words.
         self.vocabulary = np.unique(np.array([w for words in self.words for w in words], np.uint64))
@@ -166,16 +170,15 @@ class Items:
             places[np.searchsorted(self.vocabulary, distinct)] = np.arange(len(distinct))
             self.own.append(places)
             self.counts.append(counts)
-        # For each size, which words of the vocabulary (and, last, no other word) are key words of an item.
-        self.keys, self.longest = {}, {}
-        for s, which in self.by_size.items():
-            self.keys[s] = np.zeros(len(self.vocabulary) + 1, bool)
-            self.longest[s] = max([s, *(len(self.words[k]) for k in which)])
-            for k in which:
-                words = np.array(self.words[k], np.uint64)
-                rare = np.argsort(-idf[(words >> np.uint64(20)).astype(np.int64) & (FEATURES - 1)], kind="stable")
-                first = rare[: len(words) - math.ceil(self.needed(k) * len(words) - 1e-9) + 1]
-                self.keys[s][np.searchsorted(self.vocabulary, words[first])] = True
+        # For each item, which of its distinct words are key words, and how many of these a leak has at least.
+        self.keys, self.least = {}, []
+        for k, words in enumerate(self.words):
+            c = math.ceil(self.needed(k) * len(words) - 1e-9)
+            self.least.append(min(KEY_HITS, c))
+            hashes = np.array(words, np.uint64)
+            rare = np.argsort(-idf[(hashes >> np.uint64(20)).astype(np.int64) & (FEATURES - 1)], kind="stable")
+            self.keys[k] = np.zeros(len(self.counts[k]), bool)
+            self.keys[k][self.own[k][np.searchsorted(self.vocabulary, hashes[rare[: len(words) - c + self.least[k]]])]] = True
         self.masks = []
         for words in self.words:
             mask: dict[int, int] = {}
@@ -192,6 +195,39 @@ class Items:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)).astype(np.int32)
 
+    def windows(self, items: np.ndarray, numbers: np.ndarray, row: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``items``, block) of the windows whose words around, as far as compared, hold enough key words of the item.
+
+        ``numbers`` are the words' places in the vocabulary, ``row`` their rows; row r begins at word
+        ``starts[r]``, and its blocks are ``first[r]`` to ``first[r + 1] - 1``.
+        """
+        # Items by key word: those of word w are ``which[upto[w]:upto[w + 1]]``.
+        word = [np.searchsorted(self.vocabulary, np.unique(np.array(self.words[k], np.uint64)))[self.keys[k]] for k in items]
+        which = np.repeat(np.arange(len(items)), [len(w) for w in word])
+        word = np.concatenate(word)
+        which = which[np.argsort(word, kind="stable")]
+        upto = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(self.vocabulary) + 1))))
+        n = np.diff(upto)[numbers]
+        held = np.flatnonzero(n)
+        n = n[held]
+        place = which[np.repeat(upto[numbers[held]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        held = np.repeat(held, n)
+        # A window that begins at block b reaches from HOP words before it to ``reach`` words after its begin.
+        reach = np.array([self.reach(k) for k in items])
+        r = row[held]
+        at = held - starts[r]
+        low = np.maximum((at - reach[place]) // HOP + 1, 0) + first[r]
+        high = np.minimum(at // HOP + 2, first[r + 1] - first[r]) + first[r]
+        width = int(first[-1]) + 1
+        some = low < high
+        change = np.bincount((place * width + low)[some], minlength=len(items) * width) - np.bincount((place * width + high)[some], minlength=len(items) * width)
+        count = np.cumsum(change).reshape(len(items), width)
+        return np.nonzero(count >= np.array([self.least[k] for k in items])[:, None])
+
+    def reach(self, k: int) -> int:
+        """Words after the begin of a window that are compared with item ``k``."""
+        return max(self.size[k], len(self.words[k])) + HOP
+
     def common(self, k: int, numbers: np.ndarray) -> np.ndarray:
         """Share of item ``k``'s words, with repeats, in each row of ``numbers``: no LCS is longer."""
         counts = self.counts[k]
@@ -241,49 +277,52 @@ def _search(words: Words, basis: np.ndarray, items: Items) -> dict[int, dict[int
     hits: dict[int, dict[int, tuple]] = {}
     if not len(f) or not items.ids:
         return hits
-    at = np.arange(len(f)) - np.repeat(starts, n)
-    begin = np.flatnonzero(at % HOP == 0)  # blocks of HOP words
-    row = np.repeat(np.arange(len(n)), n)[begin]
-    last = np.searchsorted(row, row, "right")  # end of the blocks of the row
+    of = np.repeat(np.arange(len(n)), n)
+    begin = np.flatnonzero((np.arange(len(f)) - starts[of]) % HOP == 0)  # blocks of HOP words
+    row = of[begin]
+    upto = np.concatenate(([0], np.cumsum(-(-n // HOP))))
+    last = upto[row + 1]  # end of the blocks of the row
     numbers = np.append(items.word_numbers(words.hashes), len(items.vocabulary))
-    windows, used = {}, np.zeros(len(begin) + 1, np.int64)
-    for size, which in items.by_size.items():
-        if not len(which):
-            continue
-        # Key words in the window and around it, as far as any item's comparison reaches.
-        keys = np.concatenate(([0], np.cumsum(items.keys[size][numbers[:-1]])))
-        low = np.maximum(begin - HOP, starts[row])
-        high = np.minimum(begin + items.longest[size] + HOP, words.ends[row])
-        held = np.flatnonzero(keys[high] > keys[low])
-        if not len(held):
-            continue
-        end = np.minimum(held + size // HOP, last[held])
-        windows[size] = held, end
-        np.add.at(used, held, 1)
-        np.add.at(used, end, -1)
+    windows, used = [], np.zeros(len(begin) + 1, np.int64)
+    for size, every in items.by_size.items():
+        at_once = max(CELLS // (len(begin) + 1), 1)
+        for k in range(0, len(every), at_once):
+            which = every[k : k + at_once]
+            place, held = items.windows(which, numbers[:-1], of, starts, upto)
+            if not len(held):
+                continue
+            window, place_of = np.unique(held, return_inverse=True)
+            end = np.minimum(window + size // HOP, last[window])
+            windows.append((which, place, place_of, window, end))
+            np.add.at(used, window, 1)
+            np.add.at(used, end, -1)
     # Only blocks of such windows are projected, once for all sizes.
     blocks = np.flatnonzero(np.cumsum(used)[:-1] > 0)
     total = _block_sums(basis, f, begin, blocks)
-    for size, (held, end) in windows.items():
-        which, first = items.by_size[size], np.searchsorted(blocks, held)
-        v = (total[first + end - held] - total[first]).astype(np.float32)
+    for which, place, place_of, window, end in windows:
+        first = np.searchsorted(blocks, window)
+        v = (total[first + end - window] - total[first]).astype(np.float32)
         v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-        cosine = items.vectors[which] @ v.T
-        for i in np.flatnonzero((cosine >= COSINE).any(axis=1)):
-            item = int(which[i])
-            near = np.flatnonzero(cosine[i] >= COSINE)
-            found = held[near]
+        cuts = np.searchsorted(place, np.arange(len(which) + 1))
+        for item, low, high in zip(which.tolist(), cuts[:-1], cuts[1:]):
+            if low == high:
+                continue
+            cosine = v[place_of[low:high]] @ items.vectors[item]
+            near = np.flatnonzero(cosine >= COSINE)
+            if not len(near):
+                continue
+            found = window[place_of[low:high][near]]
             # Words around the window, as far as the row goes; the last number is no word.
             low = np.maximum(begin[found] - HOP, starts[row[found]])
-            high = np.minimum(begin[found] + max(size, len(items.words[item])) + HOP, words.ends[row[found]])
-            region = low[:, None] + np.arange(max(size, len(items.words[item])) + 2 * HOP)
+            high = np.minimum(begin[found] + items.reach(item), words.ends[row[found]])
+            region = low[:, None] + np.arange(items.reach(item) + HOP)
             common = items.common(item, numbers[np.where(region < high[:, None], region, len(f))])
             for j in np.flatnonzero(common >= items.needed(item)):
                 r = int(row[found[j]])
                 known = hits.get(r, {}).get(item)
                 lcs, answer = items.compare(item, words.hashes[low[j] : high[j]].tolist())
                 if items.leaks(item, lcs, answer) and (known is None or lcs > known[1]):
-                    hits.setdefault(r, {})[item] = (float(cosine[i, near[j]]), lcs, answer)
+                    hits.setdefault(r, {})[item] = (float(cosine[near[j]]), lcs, answer)
     return hits
 
 

@@ -414,6 +414,34 @@ def test_windows_without_key_words_hold_no_leak():
     assert len(found) > 5
 
 
+def test_windows_are_kept_for_items_with_enough_key_words(monkeypatch):
+    """Windows by item against counts of key words one by one; words of other items keep no window."""
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{rng.randrange(90)}" for _ in range(size)) + ".") for k, size in enumerate([3, 6, 10, 16, 33, 40, 50, 70])]
+    docs = ["", *(" ".join(f"{rng.choice('wwwx')}{rng.randrange(90)}" for _ in range(rng.randrange(150))) for _ in range(20)), "w1"]
+    idf = np.random.default_rng(2).uniform(0.5, 5, leaks.FEATURES).astype(np.float32)
+    basis = np.ones((leaks.FEATURES, 2), np.float32)
+    bound = leaks.Items([i for i, _ in items], [t for _, t in items], basis, idf)
+    chunk = next(iter(words.word_chunks(leaks._lower(pa.array(docs)))))
+    starts, sizes = chunk.starts(), chunk.ends - chunk.starts()
+    first = np.concatenate(([0], np.cumsum(-(-sizes // leaks.HOP))))
+    place, block = bound.windows(np.arange(8), bound.word_numbers(chunk.hashes), np.repeat(np.arange(len(docs)), sizes), starts, first)
+    want = set()
+    for k in range(8):
+        distinct = np.unique(np.array(bound.words[k], np.uint64))
+        keys = set(distinct[bound.keys[k]].tolist())
+        for r, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist())):
+            for i, at in enumerate(range(0, size, leaks.HOP)):
+                around = chunk.hashes[start + max(at - leaks.HOP, 0) : start + min(at + bound.reach(k), size)]
+                if sum(w in keys for w in around.tolist()) >= bound.least[k]:
+                    want.add((k, int(first[r]) + i))
+    assert sorted(zip(place.tolist(), block.tolist())) == sorted(want)
+    assert 0 < len(want) < 8 * first[-1] / 2
+    found = leaks._search(chunk, basis, bound)
+    monkeypatch.setattr(leaks, "CELLS", 1)
+    assert leaks._search(chunk, basis, bound) == found
+
+
 def test_latent_basis_is_that_of_all_passages(spark, monkeypatch):
     rng = random.Random(11)
     docs = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(1, 90))) for _ in range(300)]
