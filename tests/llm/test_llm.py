@@ -213,6 +213,28 @@ def test_near_duplicates(spark, edge, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_sets_are_made_where_texts_lie(spark, monkeypatch):
+    """Texts are not joined with ids: the bits of the ids go to them."""
+    ids = [-5, 0, 3, 2**62, *range(1000, 3000, 2)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    packed = neardup.id_bits(rows)
+    assert neardup.has_bit(packed, np.array(ids)).all()
+    assert neardup.has_bit(packed, np.arange(10**6, 10**6 + 10**4)).mean() < 1 / neardup.BITS_EACH
+    assert not neardup.has_bit(neardup.id_bits(rows.limit(0)), np.array(ids)).any()
+    base = texts(40, 3, 60)
+    copies = [(k, base[k % 40] + (" end" if k > 60 else "")) for k in range(100)] + [(3, base[5]), (None, base[5]), (7, None), (8, "")]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    want = {tuple(r) for r in neardup.near_duplicates(docs).select("doc_id", "near.class_id").collect()}
+    assert (43, 3) in want
+    joined, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, *a, **k: joined.append(self.columns) or join(self, other, *a, **k))
+    monkeypatch.setattr(neardup, "MOST_BITS", 16)
+    monkeypatch.setattr(neardup, "BITS_EACH", 1)
+    neardup.near_links(docs)
+    assert joined and not any("text" in columns for columns in joined)
+    assert {tuple(r) for r in neardup.near_duplicates(docs).select("doc_id", "near.class_id").collect()} == want
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(words.mix(np.arange(400, dtype=np.uint64)))
