@@ -46,7 +46,7 @@ RANK = 48
 POWER = 1
 PASSAGE = 32
 TASK_DOCS = 20_000
-PASSAGES_AT_ONCE = 32  # made dense over their own features
+PASSAGES_AT_ONCE = 16  # made dense over their own features; products of more take several threads, which wait for one another
 HOP = 8
 SIZES = (16, 32, 48)
 COSINE = 0.5
