@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import normal
+from emulant import session
 from emulant.llm import leaks, lines, links, mixing, neardup, passages, quality, secrets, tokens, toxicity, urls, words
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -287,6 +288,21 @@ def test_blocks_of_a_cell_meet_and_pairs_count_once(spark, monkeypatch):
     assert all([(s.start, s.end) for s in got[i].spans] == [(0, 70), (120 + 50 * i, 190 + 50 * i)] for i in range(1, 30)) and got[0].spans is None
 
 
+def test_a_round_sends_each_text_once_for_a_cell(spark, monkeypatch):
+    """However many blocks a cell has, what is on disk at a time doesn't grow with them, and all pairs are found."""
+    rng = random.Random(19)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(70)]
+    rows = [(i, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(80)), *shared])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(passages, "BLOCK_SHINGLES", 146 * 5)  # five texts
+    monkeypatch.setattr(passages, "ROUND_SHINGLES", 1, raising=False)
+    sent, sort = [], type(docs).sortWithinPartitions
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", lambda self, *a, **k: sent.append(self.count()) or sort(self, *a, **k))
+    found = passages.passage_links(docs)[0].groupBy("id").agg(F.sum("n_links").alias("n"), F.min("root").alias("root")).collect()
+    assert len(found) == 40 and all(r.n == 39 for r in found) and min(r.root for r in found) == 0
+    assert len(sent) > 4 and max(sent) < sum(sent) / 3 and spark.conf.get(session.FREE_SHUFFLES, None) is None
+
+
 def test_longest_stretches_equal_those_of_one_pair():
     rng = np.random.default_rng(4)
     for _ in range(60):
