@@ -529,6 +529,58 @@ def _classes(n, pairs):
     return label
 
 
+def _shingles_of(text):
+    words_ = text.split()
+    return {tuple(words_[i : i + 5]) for i in range(len(words_) - 4)}
+
+
+def test_every_shingle_is_counted(spark, monkeypatch):
+    """Counts are those of all documents, of rare shingles too, for each part in order of the hashes."""
+    rng = random.Random(17)
+    some = texts(20, 18, 15)
+    rows = [(k, k % 7, f"{t} {rng.choice(some)}") for k, t in enumerate(texts(200, 19, 12))] + [(200, 3, ""), (201, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, part long, text string").repartition(3)
+    want, mine = collections.Counter(), {}
+    for _, part, text in rows:
+        _, _, h, _, _ = next(iter(neardup._sets(pa.array([text or ""]))))
+        want.update(h.tolist())
+        mine[part] = mine.get(part, set()) | set(h.tolist())
+    assert min(want.values()) == 1 and len(set(want.values())) > 5
+    for size in (1 << 22, 300):
+        monkeypatch.setattr(neardup, "PIECE_SHINGLES", size)
+        known, n = neardup.frequent_shingles(docs)
+        assert n == 201 and {r.h % 2**64: r.df for r in known.collect()} == want
+        rows_ = neardup.frequent_shingles(docs, part="part", parts=7)[0].orderBy("part", "range").collect()
+        got = {p: np.concatenate([neardup._unpacked(r.df) for r in rows_ if r.part == p]).tolist() for p in range(7)}
+        assert got == {p: [want[h] for h in sorted(mine[p])] for p in range(7)}
+
+
+def test_rare_shingles_weigh_by_their_own_counts(spark):
+    """Shingles of 30 of 400 documents weigh less than those of two, and these less than those of one."""
+    rng = random.Random(23)
+
+    def prose(n):
+        return " ".join(f"v{rng.randrange(10**7)}" for _ in range(n))
+
+    common, pair, stock = prose(160), prose(130), [prose(24), prose(24)]
+    rows = [f"{common} {prose(18)}" for _ in range(30)]  # alike by plain counts, not by weight
+    rows += [f"{pair} {s}" for s in stock]  # alike by weight, not by plain counts
+    rows += [f"{prose(150)} {stock[k % 2]}" for k in range(60)]
+    rows += [prose(100) for _ in range(400 - len(rows))]
+    sets = [_shingles_of(t) for t in rows]
+    df = collections.Counter(x for s in sets for x in s)
+    assert min(df.values()) == 1 and 0.05 < max(df.values()) / 400 < 0.1
+
+    def similar(a, b, weight):
+        return sum(map(weight, sets[a] & sets[b])) / sum(map(weight, sets[a] | sets[b]))
+
+    idf = lambda x: np.log(400 / df[x])
+    assert similar(0, 1, len) > 0.8 > similar(0, 1, idf) + 0.1 and similar(30, 31, len) < 0.75 < 0.8 < similar(30, 31, idf)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.near.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: 30 if i == 31 else i for i in range(400)}
+
+
 def _weighted_jaccard(a, b):
     both = np.intersect1d(a[0], b[0], return_indices=True)
     low = np.minimum(a[1][both[1]].astype(float), b[1][both[2]].astype(float)).sum()
