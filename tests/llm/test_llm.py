@@ -581,6 +581,16 @@ def test_rare_shingles_weigh_by_their_own_counts(spark):
     assert got == {i: 30 if i == 31 else i for i in range(400)}
 
 
+def test_pipeline_weighs_rare_shingles(spark):
+    """Texts that share what 30 of 400 documents hold are apart by weight; by plain counts they would be one document."""
+    rng = random.Random(29)
+    common = " ".join(f"v{rng.randrange(10**7)}" for _ in range(160))
+    rows = [(i, " ".join([*([common] if i < 30 else []), *(f"v{rng.randrange(10**7)}" for _ in range(18 if i < 30 else 90))])) for i in range(400)]
+    rows.append((400, rows[399][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(400))
+
+
 def _weighted_jaccard(a, b):
     both = np.intersect1d(a[0], b[0], return_indices=True)
     low = np.minimum(a[1][both[1]].astype(float), b[1][both[2]].astype(float)).sum()
